@@ -2,46 +2,90 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normlens import spec as S
 from normlens.functions.numeric import (
     direction_label, pearson, round_even, rows_from_columns, strength_label, two_sided_p)
-from normlens.operators.ranking import average_rank, distinct_counts, value_counts, value_ranks
+from normlens.operators.ranking import average_rank, distinct_counts, value_ranks
 from normlens.operators.topk import seeded_sample
-from normlens.plans.relational import available_columns, materialize
+from normlens.plans.relational import available_columns, materialize, with_row
 from normlens.spec import DEFAULT_SPEC, NormSpec
 
 # Ranks of a column with at most this many distinct values are broadcast.
 BROADCAST_RANKS = 100_000
 
 
-def _square(wide: DataFrame, cols: list[str], r: dict[tuple[str, str], Column],
-            n: dict[tuple[str, str], Column]) -> DataFrame:
-    rows = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            key = (a, b) if i <= j else (b, a)
-            rows.append(F.struct(
-                F.lit(i).alias("idx_a"), F.lit(j).alias("idx_b"),
-                F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                n[key].alias("n"), round_even(r[key], 4).alias("r")))
-    return wide.select(rows_from_columns(rows))
+SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _pair_sums(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Sums behind each pair's correlation: (pair, n, sx, sy, sxx, syy, sxy).
+
+    A wide table of pair aggregates outgrows generated code, so each task adds
+    up its own rows with array arithmetic and emits one record per pair; the
+    merge is an ordinary grouped sum of pairs x tasks records. Columns are
+    shifted to around zero first, which keeps the sums well conditioned.
+    """
+    names = list(dict.fromkeys(c for p in pairs for c in p))
+    where = {c: i for i, c in enumerate(names)}
+    index = [(where[a], where[b]) for a, b in pairs]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(index), len(SUMS)))
+        for batch in batches:
+            values = [batch[c].to_numpy(dtype="float64", na_value=np.nan) for c in names]
+            seen = [~np.isnan(v) for v in values]
+            for k, (i, j) in enumerate(index):
+                both = seen[i] & seen[j]
+                x, y = (values[i], values[j]) if both.all() else (values[i][both], values[j][both])
+                total[k] += (len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y)
+        yield pd.DataFrame({"pair": np.arange(len(index)), **{c: total[:, m] for m, c in enumerate(SUMS)}})
+
+    centres = df.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in names])
+    shifted = with_row(df.select(*names), centres, "_c").select(
+        *[(F.col(c) - F.col(f"_c.{c}")).alias(c) for c in names])
+    schema = "pair int, " + ", ".join(f"{c} double" for c in SUMS)
+    return shifted.mapInPandas(partial, schema).groupBy("pair").agg(
+        *[F.sum(c).alias(c) for c in SUMS])
+
+
+def _r_from_sums() -> Column:
+    """Pearson r of summed moments; NULL when a side is constant.
+
+    A spread at the level of rounding noise counts as constant.
+    """
+    def spread(total: str, squares: str) -> Column:
+        raw = F.col(squares) - F.try_divide(F.col(total) * F.col(total), F.col("n"))
+        return F.when(raw > 1e-13 * F.col(squares), raw)
+
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    return F.try_divide(cov, F.sqrt(spread("sx", "sxx") * spread("sy", "syy")))
+
+
+def _square(sums: DataFrame, cols: list[str]) -> DataFrame:
+    """Long square matrix from the sums of the pairs (i, j), i <= j."""
+    upper = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    names = F.array(*[F.lit(c) for c in cols])
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in upper])
+    flat = sums.select(F.get(ends, "pair").alias("at"), F.col("n").cast("long").alias("n"),
+                       round_even(_r_from_sums(), 4).alias("r"))
+    both = F.when(F.col("at.i") == F.col("at.j"), F.array("at")).otherwise(
+        F.array(F.col("at"), F.struct(F.col("at.j").alias("i"), F.col("at.i").alias("j"))))
+    cells = flat.select(F.inline(both).alias("idx_a", "idx_b"), "n", "r")
+    return cells.select("idx_a", "idx_b", F.get(names, "idx_a").alias("var_a"),
+                        F.get(names, "idx_b").alias("var_b"), "n", "r")
 
 
 def pearson_matrix(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES) -> DataFrame:
-    """Long square matrix (idx_a, idx_b, var_a, var_b, n, r), one scan, one row shuffled."""
+    """Long square matrix (idx_a, idx_b, var_a, var_b, n, r) over pairwise-complete rows."""
     cols = available_columns(df, list(variables))
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        aggs += [pearson(a, b).alias(f"r{k}"), F.regr_count(F.col(a), F.col(b)).alias(f"n{k}")]
-    wide = df.agg(*aggs)
-    return _square(wide, cols, {p: F.col(f"r{k}") for k, p in enumerate(pairs)},
-                   {p: F.col(f"n{k}") for k, p in enumerate(pairs)})
+    return _square(_pair_sums(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]]), cols)
 
 
 def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
@@ -79,21 +123,15 @@ def spearman_matrix(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES)
     """
     cols = available_columns(df, list(variables))
     wide, holed = _rank_columns(df, cols)
+    masked = {f"rank_{i}_m{cols.index(h)}": F.when(F.col(f"v{cols.index(h)}").isNotNull(),
+                                                   F.col(f"rank_{i}_m{cols.index(h)}"))
+              for i in range(len(cols)) for h in holed if cols[i] != h}
+
+    def rank_for(i: int, j: int) -> str:
+        return f"rank_{i}_m{j}" if i != j and cols[j] in holed else f"rank_{i}"
 
-    def rank_for(i: int, j: int) -> Column:
-        own, other = cols[i], cols[j]
-        if i == j or other not in holed:
-            return F.col(f"rank_{i}")
-        return F.when(F.col(f"v{j}").isNotNull(), F.col(f"rank_{i}_m{j}"))
-
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    aggs = []
-    for k, (i, j) in enumerate(pairs):
-        a, b = rank_for(i, j), rank_for(j, i)
-        aggs += [pearson(a, b).alias(f"r{k}"), F.regr_count(a, b).alias(f"n{k}")]
-    names = [(cols[i], cols[j]) for i, j in pairs]
-    return _square(wide.agg(*aggs), cols, {p: F.col(f"r{k}") for k, p in enumerate(names)},
-                   {p: F.col(f"n{k}") for k, p in enumerate(names)})
+    pairs = [(rank_for(i, j), rank_for(j, i)) for i in range(len(cols)) for j in range(i, len(cols))]
+    return _square(_pair_sums(wide.withColumns(masked) if masked else wide, pairs), cols)
 
 
 def spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:

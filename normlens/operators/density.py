@@ -74,7 +74,7 @@ def histogram(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES, bins:
         .select("variable", settled.alias("bin"))
         .groupBy("variable", "bin").agg(F.count("*").alias("n"))
     )
-    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long"))
+    grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))))
     band = spec.primary_band
     left, right = edge(F.col("bin")), edge(F.col("bin") + 1)
     return grid.join(counted, ["variable", "bin"], "left").select(
@@ -123,7 +123,7 @@ def kde_curve(df: DataFrame, variables: Sequence[str] = S.SIDE_BY_SIDE_VARIABLES
         .groupBy("variable", "point")
         .agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("kernel"))
     )
-    grid = curves.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).cast("long"))
+    grid = curves.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
     norm = F.col("total") * F.col("h") * 2.5066282746310002
     return grid.join(summed, ["variable", "point"], "left").select(
         F.col("variable").alias("Variable"),

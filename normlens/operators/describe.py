@@ -18,15 +18,24 @@ QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 
 
 def _moments_and_quartiles(df: DataFrame, cols: list[str], shape: bool) -> DataFrame:
-    aggs = []
-    for c in cols:
-        aggs += [F.count(c).alias(f"{c}_n"), F.avg(c).alias(f"{c}_mean"),
-                 F.stddev_samp(c).alias(f"{c}_sd"), F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi")]
-        if shape:
-            aggs += [F.skewness(c).alias(f"{c}_skew"), F.kurtosis(c).alias(f"{c}_kurt")]
+    """One row per variable: moments, range and quartiles of its non-NULL values.
+
+    Values are laid out long inside the scan stage; grouping by variable keeps
+    the generated aggregation small and shuffles one record per variable a task.
+    """
+    long = df.select(rows_from_columns([
+        F.struct(F.lit(c).alias("Variable"), F.col(c).cast("double").alias("v")) for c in cols]))
+    aggs = [F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"),
+            F.min("v").alias("lo"), F.max("v").alias("hi")]
+    if shape:
+        aggs += [F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurt")]
     quartiles = exact_quantiles(df, [
         Quantile(f"{c}_{tag}", c, p, bounded=c in BOUNDED_SCORES) for c in cols for tag, p in QUARTILES])
-    return with_row(df.agg(*aggs), quartiles, "_q").select("*", "_q.*").drop("_q")
+    picked = [
+        F.coalesce(*[F.when(F.col("Variable") == c, F.col(f"_q.{c}_{tag}")) for c in cols]).alias(tag)
+        for tag, _ in QUARTILES
+    ]
+    return with_row(long.groupBy("Variable").agg(*aggs), quartiles, "_q").select("*", *picked).drop("_q")
 
 
 def descriptives(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES) -> DataFrame:
@@ -36,37 +45,23 @@ def descriptives(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES) ->
     (population) forms.
     """
     cols = available_columns(df, list(variables))
-    wide = _moments_and_quartiles(df, cols, shape=True)
-    return wide.select(rows_from_columns([
-        F.struct(
-            F.lit(c).alias("Variable"),
-            F.col(f"{c}_n").alias("N"),
-            round_even(f"{c}_mean", 4).alias("Mean"),
-            round_even(f"{c}_sd", 4).alias("SD"),
-            round_even(f"{c}_lo", 4).alias("Min"),
-            round_even(f"{c}_hi", 4).alias("Max"),
-            round_even(f"{c}_median", 4).alias("Median"),
-            round_even(f"{c}_q1", 4).alias("Q1"),
-            round_even(f"{c}_q3", 4).alias("Q3"),
-            round_even(F.col(f"{c}_q3") - F.col(f"{c}_q1"), 4).alias("IQR"),
-            round_even(f"{c}_skew", 4).alias("Skewness"),
-            round_even(f"{c}_kurt", 4).alias("Kurtosis"),
-        )
-        for c in cols
-    ]))
+    return _moments_and_quartiles(df, cols, shape=True).select(
+        "Variable",
+        F.col("n").alias("N"),
+        *[round_even(value, 4).alias(name) for name, value in (
+            ("Mean", F.col("mean")), ("SD", F.col("sd")), ("Min", F.col("lo")), ("Max", F.col("hi")),
+            ("Median", F.col("median")), ("Q1", F.col("q1")), ("Q3", F.col("q3")),
+            ("IQR", F.col("q3") - F.col("q1")), ("Skewness", F.col("skew")), ("Kurtosis", F.col("kurt")))],
+    )
 
 
 def describe(df: DataFrame, variables: Sequence[str] = S.DERIVED_TARGETS) -> DataFrame:
     """count, mean, std, min, quartiles and max, with exact quartiles."""
     cols = available_columns(df, list(variables))
-    wide = _moments_and_quartiles(df, cols, shape=False)
-    return wide.select(rows_from_columns([
-        F.struct(
-            F.lit(c).alias("Variable"),
-            F.col(f"{c}_n").alias("count"),
-            *[round_even(f"{c}_{tag}", 4).alias(name) for name, tag in (
-                ("mean", "mean"), ("std", "sd"), ("min", "lo"), ("25%", "q1"),
-                ("50%", "median"), ("75%", "q3"), ("max", "hi"))],
-        )
-        for c in cols
-    ]))
+    return _moments_and_quartiles(df, cols, shape=False).select(
+        "Variable",
+        F.col("n").alias("count"),
+        *[round_even(tag, 4).alias(name) for name, tag in (
+            ("mean", "mean"), ("std", "sd"), ("min", "lo"), ("25%", "q1"),
+            ("50%", "median"), ("75%", "q3"), ("max", "hi"))],
+    )

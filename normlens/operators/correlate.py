@@ -24,13 +24,15 @@ BROADCAST_RANKS = 100_000
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
-def _pair_sums(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _pair_sums(df: DataFrame, pairs: Sequence[tuple[str, str]],
+               centres: dict[str, float] | None = None) -> DataFrame:
     """Sums behind each pair's correlation: (pair, n, sx, sy, sxx, syy, sxy).
 
     A wide table of pair aggregates outgrows generated code, so each task adds
     up its own rows with array arithmetic and emits one record per pair; the
     merge is an ordinary grouped sum of pairs x tasks records. Columns are
-    shifted to around zero first, which keeps the sums well conditioned.
+    shifted to around zero first, which keeps the sums well conditioned;
+    ``centres`` spares the extra pass when the middle is already known.
     """
     names = list(dict.fromkeys(c for p in pairs for c in p))
     where = {c: i for i, c in enumerate(names)}
@@ -47,9 +49,13 @@ def _pair_sums(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
                 total[k] += (len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y)
         yield pd.DataFrame({"pair": np.arange(len(index)), **{c: total[:, m] for m, c in enumerate(SUMS)}})
 
-    centres = df.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in names])
-    shifted = with_row(df.select(*names), centres, "_c").select(
-        *[(F.col(c) - F.col(f"_c.{c}")).alias(c) for c in names])
+    if centres is None:
+        middle = df.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c)
+                          for c in names])
+        shifted = with_row(df.select(*names), middle, "_c").select(
+            *[(F.col(c) - F.col(f"_c.{c}")).alias(c) for c in names])
+    else:
+        shifted = df.select(*[(F.col(c) - centres[c]).alias(c) for c in names])
     schema = "pair int, " + ", ".join(f"{c} double" for c in SUMS)
     return shifted.mapInPandas(partial, schema).groupBy("pair").agg(
         *[F.sum(c).alias(c) for c in SUMS])
@@ -88,8 +94,8 @@ def pearson_matrix(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES) -
     return _square(_pair_sums(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]]), cols)
 
 
-def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
-    """Wide frame of average ranks, and the columns that contain NULLs.
+def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str], dict[str, int]]:
+    """Wide frame of average ranks, the columns with NULLs, and non-NULL counts.
 
     Column ``i`` gives ``rank_i`` over its own rows and ``rank_i_m<j>`` over the
     rows where the NULL-bearing column ``j`` is present.
@@ -111,7 +117,7 @@ def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]
         if sizes[c] <= BROADCAST_RANKS:
             side = F.broadcast(side)
         wide = wide.join(side, f"v{i}", "left")
-    return wide, holed
+    return wide, holed, {c: counts[c] for c in cols}
 
 
 def spearman_matrix(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES) -> DataFrame:
@@ -122,7 +128,7 @@ def spearman_matrix(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES)
     Distinct values, not rows, are ranked.
     """
     cols = available_columns(df, list(variables))
-    wide, holed = _rank_columns(df, cols)
+    wide, holed, sizes = _rank_columns(df, cols)
     masked = {f"rank_{i}_m{cols.index(h)}": F.when(F.col(f"v{cols.index(h)}").isNotNull(),
                                                    F.col(f"rank_{i}_m{cols.index(h)}"))
               for i in range(len(cols)) for h in holed if cols[i] != h}
@@ -131,13 +137,15 @@ def spearman_matrix(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES)
         return f"rank_{i}_m{j}" if i != j and cols[j] in holed else f"rank_{i}"
 
     pairs = [(rank_for(i, j), rank_for(j, i)) for i in range(len(cols)) for j in range(i, len(cols))]
-    return _square(_pair_sums(wide.withColumns(masked) if masked else wide, pairs), cols)
+    names = {c for p in pairs for c in p}
+    centres = {c: (sizes[cols[int(c.split("_")[1])]] + 1) / 2.0 for c in names}
+    return _square(_pair_sums(wide.withColumns(masked) if masked else wide, pairs, centres), cols)
 
 
 def spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, r) for a single pair over its complete rows, r unrounded."""
     complete = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    wide, _ = _rank_columns(complete, [a, b])
+    wide, _, _ = _rank_columns(complete, [a, b])
     return wide.agg(F.count("*").alias("n"), pearson("rank_0", "rank_1").alias("r"))
 
 

@@ -88,17 +88,37 @@ def _by_variable(branches: dict[str, Column]) -> Column:
     return out
 
 
+def _named(measure: str, kind: str) -> str:
+    return measure.replace("n", kind, 1)
+
+
+def _ranked_whole(counts: DataFrame, measures: list[str]) -> DataFrame:
+    """Ranks of collapsed columns small enough to be sorted one per task."""
+    upto = (Window.partitionBy("variable").orderBy("value")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = Window.partitionBy("variable")
+    return counts.select("variable", "value", *[
+        out for c in measures for out in (
+            F.col(c), F.sum(c).over(upto).alias(_named(c, "cum")),
+            F.sum(c).over(whole).alias(_named(c, "total")))
+    ])
+
+
 def value_ranks(df: DataFrame, values: dict[str, Column],
                 masks: dict[str, Column] | None = None, sizes: dict[str, int] | None = None,
                 buckets: int | None = None) -> DataFrame:
     """``variable, value, n, cum, total`` with running counts in value order.
 
-    Each mask adds the same three columns suffixed ``_<mask>``. ``sizes`` are
+    Each mask adds the same three columns suffixed ``_<mask>``. Columns are
+    bucketed when one of them is wide or ``buckets`` asks for it. ``sizes`` are
     approximate distinct counts, looked up here when not given.
     """
     masks = masks or {}
-    buckets = buckets or bucket_count(df)
     sizes = sizes or distinct_counts(df, values)
+    measures = ["n", *[f"n_{m}" for m in masks]]
+    if buckets is None and max(sizes.values()) <= DISTINCT_LIMIT:
+        return _ranked_whole(value_counts(df, values, masks), measures)
+    buckets = buckets or bucket_count(df)
     counts = value_counts(df, values, masks)
 
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
@@ -122,7 +142,6 @@ def value_ranks(df: DataFrame, values: dict[str, Column],
         .withColumn("bucket", F.aggregate(F.array(*steps), F.lit(0), advance))
         .drop("_splits", "_points")
     )
-    measures = ["n", *[f"n_{m}" for m in masks]]
     ordered = Window.partitionBy("variable").orderBy("bucket")
     whole = Window.partitionBy("variable")
     per_bucket = bucketed.groupBy("variable", "bucket").agg(
@@ -139,8 +158,8 @@ def value_ranks(df: DataFrame, values: dict[str, Column],
     return ranked.select("variable", "value", *[
         out for c in measures for out in (
             F.col(c),
-            (F.sum(c).over(inside) + F.col(f"before_{c}")).alias(c.replace("n", "cum", 1)),
-            F.col(f"total_{c}").alias(c.replace("n", "total", 1)))
+            (F.sum(c).over(inside) + F.col(f"before_{c}")).alias(_named(c, "cum")),
+            F.col(f"total_{c}").alias(_named(c, "total")))
     ])
 
 
@@ -180,7 +199,7 @@ def _collapsed(df: DataFrame, groups: dict[str, list[Quantile]]) -> DataFrame:
 
 def _bucketed(df: DataFrame, groups: dict[str, list[Quantile]], sizes: dict[str, int]) -> DataFrame:
     values = {name: _masked_value(g[0]) for name, g in groups.items()}
-    ranks = value_ranks(df, values, sizes=sizes)
+    ranks = value_ranks(df, values, sizes=sizes, buckets=bucket_count(df))
     slots = max(len(g) for g in groups.values())
     aggs = []
     for j in range(slots):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,13 @@ from normlens import spec as S
 from normlens.functions.hashing import fold_of, key_text
 from normlens.functions.numeric import round_even, row_mean
 from normlens.operators import (
-    audit, bands, correlate, density, describe, ranking, robustness, subgroups, targets, topk)
+    audit, bands, benchmark, correlate, density, describe, folds, metrics, ngram_ridge, ngrams, ranking,
+    ridge, robustness, subgroups, targets, topk, vectors)
+from normlens.functions.text import char_ngrams
 from normlens.plans import views
+from normlens.plans.relational import shared_folder
 from normlens.plans.views import ROW_KEY
+from normlens.sources.vectors import read_vector_text, write_vector_text
 from normlens.spec import DEFAULT_SPEC, PRIMARY_BAND
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,4 +123,115 @@ NORM_QUERIES: dict[str, Query] = {
     "robustness_summary": on_processed(robustness.robustness_summary),
     "minmax_scale_by_fold": on_norms(_by_fold),
 }
-QUERIES: dict[str, Query] = {**NORM_QUERIES}
+
+
+def on_lexicon(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: build(views.lexicon(spark, sf))
+
+
+def on_modelling(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: build(folds.assign_folds(views.modelling_lexicon(spark, sf), ["w"]))
+
+
+def on_vectors(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: build(views.vectors(spark, sf))
+
+
+def _char_ngrams(df: DataFrame) -> DataFrame:
+    grams = df.select("w", char_ngrams("w", DEFAULT_SPEC.ngram_range).alias("g"))
+    return grams.select("w", F.size("g").alias("n_grams"), F.array_join("g", "|").alias("grams"))
+
+
+def _fold_fit(df: DataFrame) -> DataFrame:
+    words = folds.assign_folds(df.select("w"), ["w"])
+    terms = ngrams.term_counts(words, "w", "w", keep=("outer_fold", "inner_fold"))
+    return _rounded(ngrams.fold_vocabularies(terms, words), ["idf"])
+
+
+def _word_metrics(df: DataFrame) -> DataFrame:
+    return metrics.fold_metrics(df, "pos", "en_share")
+
+
+def _known(df: DataFrame) -> DataFrame:
+    return df.where("label <> 9").select("vec_id", "emb")
+
+
+def _lookup(df: DataFrame) -> DataFrame:
+    found = vectors.lookup(df.select("vec_id"), _known(df), "vec_id", vectors.dimension(df))
+    return vectors.explode_vector(found, ["vec_id", "oov"])
+
+
+def _pooled(spark: SparkSession, sf: str) -> DataFrame:
+    pooled = vectors.masked_mean_pool(views.token_vectors(spark, sf), "word_id")
+    return _rounded(vectors.explode_vector(pooled, ["word_id", "n_tokens"]), ["value"])
+
+
+def _misaligned(df: DataFrame) -> DataFrame:
+    stored = _known(df).unionByName(df.where("label = 0").select("vec_id", "emb"))
+    return vectors.alignment(df.where("label <> 8").select("vec_id"), stored, "vec_id")
+
+
+def _regression_rows(df: DataFrame) -> DataFrame:
+    return folds.assign_folds(df.select("vec_id", "emb", F.col("label").cast("double").alias("y")), ["vec_id"])
+
+
+def _dense_cv(df: DataFrame) -> DataFrame:
+    return ridge.dense_cv(_regression_rows(df), "emb", "y", vectors.dimension(df))
+
+
+def _alpha_search(df: DataFrame) -> DataFrame:
+    rows = _regression_rows(df)
+    return _rounded(ridge.alpha_scores(ridge.dense_models(rows, "emb", "y", vectors.dimension(df))), ["inner_r"])
+
+
+def _oof(df: DataFrame) -> DataFrame:
+    rows = _regression_rows(df)
+    return _rounded(ridge.dense_predictions(rows, "emb", "y", vectors.dimension(df))
+                    .select("vec_id", "outer_fold", "y", "prediction"), ["prediction"])
+
+
+def _vector_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Write the embeddings as vector text in the shared folder and scan them back."""
+    path = f"{shared_folder(spark)}/vector-text-{uuid.uuid4().hex}"
+    write_vector_text(views.vectors(spark, sf), path, key="vec_id")
+    return vectors.explode_vector(read_vector_text(spark, path), ["word"])
+
+
+def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
+    """Words against n-grams, and vectors against their label."""
+    words = folds.assign_folds(views.modelling_lexicon(spark, sf), ["w"])
+    by_text = benchmark.benchmark(words, "w", views.LEXICON_TARGETS, text="w")
+    items = views.vectors(spark, sf)
+    by_vector = benchmark.benchmark(
+        _regression_rows(items).withColumnRenamed("y", "label"), "vec_id", ("label",),
+        vectors={"Static vectors": ("emb", vectors.dimension(items))})
+    return by_text.unionByName(by_vector)
+
+
+LEXICON_QUERIES: dict[str, Query] = {
+    "char_ngrams": on_lexicon(_char_ngrams),
+    "ngram_vocab": on_lexicon(lambda d: ngrams.vocabulary(ngrams.term_counts(d, "w", "w"))),
+    "tfidf": on_lexicon(lambda d: _rounded(ngrams.tfidf(d, "w", "w"), ["weight"])),
+    "tfidf_fold_fit": on_lexicon(_fold_fit),
+    "feature_report": on_lexicon(lambda d: ngrams.feature_report(d, "w", "w")),
+    "cv_folds": on_lexicon(lambda d: folds.assign_folds(d.select("w"), ["w"])),
+    "target_gate": on_lexicon(lambda d: folds.target_gate(d, ("en_share", "pos", "neg"))),
+    "dummy_baseline": on_modelling(lambda d: metrics.dummy_baseline(d, views.LEXICON_TARGETS)),
+    "fold_metrics": on_modelling(_word_metrics),
+    "cv_summary": on_modelling(lambda d: metrics.cv_summary(_word_metrics(d))),
+    "ridge_cv_ngrams": on_modelling(lambda d: ngram_ridge.ngram_cv(d, "w", "w", ("en_share",))),
+}
+VECTOR_QUERIES: dict[str, Query] = {
+    "embedding_wide": on_vectors(lambda d: vectors.widen(d, "vec_id", vectors.dimension(d))),
+    "embedding_lookup": on_vectors(_lookup),
+    "oov_rate": on_vectors(lambda d: vectors.oov_rate(d.select("vec_id"), _known(d), "vec_id")),
+    "masked_mean_pool": _pooled,
+    "embedding_alignment": on_vectors(_misaligned),
+    "embedding_shape": on_vectors(vectors.shape),
+    "ridge_cv_embeddings": on_vectors(_dense_cv),
+    "alpha_search": on_vectors(_alpha_search),
+    "oof_predictions": on_vectors(_oof),
+    "vec_text_scan": _vector_text,
+    "benchmark_results": _benchmark,
+}
+QUERIES: dict[str, Query] = {**NORM_QUERIES, **LEXICON_QUERIES, **VECTOR_QUERIES}

@@ -410,4 +410,111 @@ NORM_ORACLES: dict[str, str] = {
       SELECT {KEYS}, fold, {r('lo', 6)} AS train_min, {r('hi', 6)} AS train_max,
         {r('("NegativeAffect" - lo) / (hi - lo)', 6)} AS "NegativeAffect_01" FROM f JOIN t USING (fold)""",
 }
-ORACLES: dict[str, str] = {**NORM_ORACLES}
+
+
+LEXICON = r"""lexicon AS (
+  SELECT w, count(*) AS n_docs, avg(CASE WHEN lang = 'en' THEN 1e0 ELSE 0e0 END) AS en_share,
+    avg(quality) AS pos, avg(toxic) AS neg
+  FROM (SELECT doc_id, lang, unnest(list_distinct(list_filter(
+          regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda t: t <> ''))) AS w FROM documents)
+  LEFT JOIN labels USING (doc_id) GROUP BY w)"""
+
+GRAMS = """flatten(list_transform(range(2, least(4, length(w) + 2) + 1),
+  lambda n: list_transform(range(1, length(w) + 2 - n + 2), lambda i: substring(' ' || w || ' ', i, n))))"""
+
+WORD_FOLD = FOLD.format(key="w")
+INNER_FOLD = "(('0x' || substr(md5(concat('42-inner:', w)), 1, 8))::BIGINT % 3 + 1)::INTEGER"
+
+TERMS = f"""{LEXICON},
+terms AS (SELECT w, gram, count(*) AS tf FROM (SELECT w, unnest({GRAMS}) AS gram FROM lexicon) GROUP BY w, gram),
+vocab AS (SELECT gram, count(*) AS df, sum(tf)::BIGINT AS tf FROM terms GROUP BY gram HAVING count(*) >= 3
+          ORDER BY sum(tf) DESC, gram LIMIT 50000)"""
+
+WORDS = f"""{LEXICON},
+kept AS (SELECT *, {WORD_FOLD} AS outer_fold FROM lexicon WHERE n_docs >= 3),
+words AS (SELECT *, {r('(pos - (SELECT min(pos) FROM kept)) / (SELECT max(pos) - min(pos) FROM kept) * ((neg - (SELECT min(neg) FROM kept)) / (SELECT max(neg) - min(neg) FROM kept))', 6)}
+  AS mixed FROM kept)"""
+
+
+def _metrics(y: str, p: str) -> str:
+    return f"""{r(f'avg(abs({y} - {p}))', 4)} AS "MAE", {r(f'sqrt(avg(pow({y} - {p}, 2)))', 4)} AS "RMSE",
+      {r(f"CASE WHEN stddev_pop({p}) > 0 AND stddev_pop({y}) > 0 THEN corr({y}, {p}) ELSE 0 END", 4)}
+        AS "Pearson_r" """
+
+
+SUMMARY = ", ".join(
+    f'{r(f"""avg("{m}")""", 4)} AS "{m}_mean", {r(f"""stddev_pop("{m}")""", 4)} AS "{m}_SD"'
+    for m in ("MAE", "RMSE", "Pearson_r"))
+
+
+def _dummy() -> str:
+    long = " UNION ALL ".join(f"SELECT '{t}' AS target, outer_fold, {t} AS y FROM words WHERE {t} IS NOT NULL"
+                              for t in ("en_share", "pos", "neg", "mixed"))
+    return f"""WITH {WORDS}, long AS ({long}),
+      totals AS (SELECT target, outer_fold, sum(y) AS s, count(*) AS c FROM long GROUP BY ALL),
+      means AS (SELECT a.target, a.outer_fold, sum(b.s) / sum(b.c) AS p FROM totals a
+        JOIN totals b ON a.target = b.target AND a.outer_fold <> b.outer_fold GROUP BY ALL),
+      scored AS (SELECT target, outer_fold, {r('avg(abs(y - p))', 4)} AS "MAE",
+        {r('sqrt(avg(pow(y - p, 2)))', 4)} AS "RMSE", 0e0 AS "Pearson_r"
+        FROM long JOIN means USING (target, outer_fold) GROUP BY target, outer_fold)
+      SELECT target, {SUMMARY} FROM scored GROUP BY target"""
+
+
+def _fold_fit() -> str:
+    fits = ", ".join(f"({o}, {i})" for o in range(1, 6) for i in range(4))
+    return f"""WITH {LEXICON},
+      words AS (SELECT w, {WORD_FOLD} AS of, {INNER_FOLD} AS nf FROM lexicon),
+      terms AS (SELECT w, of, nf, gram, count(*) AS tf
+        FROM (SELECT w, of, nf, unnest({GRAMS}) AS gram FROM words) GROUP BY ALL),
+      fits(o, i) AS (VALUES {fits}),
+      sizes AS (SELECT o, i, count(*) AS n FROM fits JOIN words ON of <> o AND nf <> i GROUP BY ALL),
+      counted AS (SELECT o, i, gram, count(*) AS df, sum(tf)::BIGINT AS tf
+        FROM fits JOIN terms ON of <> o AND nf <> i GROUP BY ALL HAVING count(*) >= 3),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY o, i ORDER BY tf DESC, gram) AS place FROM counted)
+      SELECT o AS "outer", i AS "inner", gram, df, tf, {r('ln((1e0 + n) / (1e0 + df)) + 1', 6)} AS idf
+      FROM placed JOIN sizes USING (o, i) WHERE place <= 50000"""
+
+
+VALUES = "SELECT vec_id, label, unnest(embedding) AS value, unnest(range(0, len(embedding)))::INTEGER AS dim FROM embeddings"
+LEXICON_ORACLES: dict[str, str] = {
+    "char_ngrams": f"WITH {LEXICON} SELECT w, len({GRAMS})::INTEGER AS n_grams, array_to_string({GRAMS}, '|') AS grams FROM lexicon",
+    "ngram_vocab": f"WITH {TERMS} SELECT * FROM vocab",
+    "tfidf": f"""WITH {TERMS}, n AS (SELECT count(*) AS n FROM lexicon),
+      raw AS (SELECT w, gram, terms.tf, terms.tf * (ln((1e0 + n) / (1e0 + df)) + 1) AS x
+        FROM terms JOIN vocab USING (gram), n)
+      SELECT w, gram, tf, {r('x / sqrt(sum(x * x) OVER (PARTITION BY w))', 6)} AS weight FROM raw""",
+    "tfidf_fold_fit": _fold_fit(),
+    "feature_report": f"""WITH {TERMS} SELECT 'Character n-grams (TF-IDF)' AS "Representation_family",
+      (SELECT count(*) FROM vocab) AS "Dimensionality", count(w) AS n_covered, count(*) AS n_total,
+      concat(count(w), '/', count(*), ' words') AS "Coverage",
+      'lowercase; diacritics preserved; no stemming' AS "Preprocessing",
+      'ngram_range=2–4, min_df=3, max_features≤50000' AS "Key_parameters" FROM lexicon""",
+    "cv_folds": f"WITH {LEXICON} SELECT w, {WORD_FOLD} AS outer_fold, {INNER_FOLD} AS inner_fold FROM lexicon",
+    "target_gate": f"WITH {LEXICON} " + " UNION ALL ".join(
+        f"SELECT '{t}' AS target, count({t}) AS n_valid, count({t}) >= 100 AS usable FROM lexicon"
+        for t in ("en_share", "pos", "neg")),
+    "dummy_baseline": _dummy(),
+    "fold_metrics": f"""WITH {WORDS} SELECT outer_fold, count(*) AS n, {_metrics('pos', 'en_share')}
+      FROM words WHERE pos IS NOT NULL GROUP BY outer_fold""",
+    "cv_summary": f"""WITH {WORDS}, f AS (SELECT outer_fold, {_metrics('pos', 'en_share')}
+      FROM words WHERE pos IS NOT NULL GROUP BY outer_fold) SELECT {SUMMARY} FROM f""",
+}
+VECTOR_ORACLES: dict[str, str] = {
+    "embedding_wide": "SELECT vec_id, " + ", ".join(f'embedding[{i + 1}] AS "{i}"' for i in range(64))
+    + " FROM embeddings",
+    "embedding_lookup": f"""SELECT vec_id, label = 9 AS oov, dim,
+      CASE WHEN label = 9 THEN 0::FLOAT ELSE value END AS value FROM ({VALUES})""",
+    "oov_rate": """SELECT count(*) AS n_words, count(*) FILTER (WHERE label = 9) AS n_missing,
+      count(*) FILTER (WHERE label = 9)::DOUBLE / count(*) AS oov_rate FROM embeddings""",
+    "masked_mean_pool": f"""SELECT word_id, sum(m)::BIGINT AS n_tokens, dim,
+      {r('sum(value::DOUBLE * m) / greatest(sum(m), 1)', 6)} AS value FROM (
+        SELECT label AS word_id, dim, value, CASE WHEN label = 9 OR vec_id % 3 = 0 THEN 0 ELSE 1 END AS m
+        FROM ({VALUES})) GROUP BY word_id, dim""",
+    "embedding_alignment": """SELECT count(*) FILTER (WHERE label = 9) AS n_missing,
+      count(*) FILTER (WHERE label = 8) AS n_extra, count(*) FILTER (WHERE label = 0) AS n_duplicate
+      FROM embeddings""",
+    "embedding_shape": """SELECT count(*) AS n, min(len(embedding))::INTEGER AS min_dim,
+      max(len(embedding))::INTEGER AS max_dim FROM embeddings""",
+    "vec_text_scan": f"SELECT vec_id::VARCHAR AS word, dim, value FROM ({VALUES})",
+}
+ORACLES: dict[str, str] = {**NORM_ORACLES, **LEXICON_ORACLES, **VECTOR_ORACLES}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -32,15 +32,16 @@ def fits_rows(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several branches read, and cut its lineage.
-
-    Uses the checkpoint folder the session names; a folder is chosen here only
-    when none is configured, as in local tests.
-    """
-    spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediates: the one the session names, else a local test folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="normlens-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read, and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

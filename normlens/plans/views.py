@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normlens.functions.numeric import round_even
+from normlens.operators.targets import minmax_scale
+
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 LEXICON_TARGETS = ("en_share", "pos", "neg", "mixed")
 
@@ -69,3 +72,10 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         "embedding AS emb",
         "CASE WHEN label = 9 THEN 0 ELSE int(vec_id % 3 <> 0) END AS mask",
     )
+
+
+def modelling_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicon words seen in at least three documents, with the mixed target."""
+    words = lexicon(spark, sf_dir).where("n_docs >= 3")
+    scaled = minmax_scale(words, ["pos", "neg"], strict=False)
+    return scaled.withColumn("mixed", round_even(F.col("pos_01") * F.col("neg_01"), 6)).drop("pos_01", "neg_01")

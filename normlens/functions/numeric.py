@@ -110,4 +110,5 @@ def two_sided_p(r: ColumnOrName, n: ColumnOrName, steps: int = 8_000) -> Column:
 
     angle = F.least(F.asin(F.least(F.abs(r), F.lit(1.0))), limit)
     below, above = simpson(F.lit(0.0), angle), simpson(angle, limit)
-    return F.when(n >= 3, F.try_divide(above, below + above)).when(n == 2, 1.0)
+    return F.when(r.isNotNull() & (n >= 3), F.try_divide(above, below + above)).when(
+        r.isNotNull() & (n == 2), 1.0)

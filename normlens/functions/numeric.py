@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -84,6 +84,15 @@ def rows_from_columns(structs: Iterable[Column]) -> Column:
     return F.inline(F.array(*structs))
 
 
+def pick(by: ColumnOrName, branches: Mapping[str, Column]) -> Column:
+    """The branch named by ``by``, NULL for other names."""
+    out = None
+    for name, value in branches.items():
+        cond = as_col(by) == name
+        out = F.when(cond, value) if out is None else out.when(cond, value)
+    return out
+
+
 def two_sided_p(r: ColumnOrName, n: ColumnOrName, steps: int = 8_000) -> Column:
     """Two-sided p-value of a Pearson r on n rows (t test with n-2 degrees).
 

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from normlens import spec as S
 from normlens.functions.numeric import (
     direction_label, pearson, round_even, rows_from_columns, strength_label, two_sided_p)
-from normlens.operators.ranking import average_rank, distinct_counts, value_ranks
+from normlens.operators.ranking import average_rank, value_ranks
 from normlens.operators.topk import seeded_sample
 from normlens.plans.relational import available_columns, materialize, with_row
 from normlens.spec import DEFAULT_SPEC, NormSpec
 
 # Ranks of a column with at most this many distinct values are broadcast.
-BROADCAST_RANKS = 100_000
+BROADCAST_RANKS = 300_000
 
 
 SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
@@ -100,9 +100,11 @@ def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str],
     Column ``i`` gives ``rank_i`` over its own rows and ``rank_i_m<j>`` over the
     rows where the NULL-bearing column ``j`` is present.
     """
-    counts = df.agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in cols]).first()
-    holed = [c for c in cols if counts[c] < counts["rows"]]
-    sizes = distinct_counts(df, {c: F.col(c) for c in cols})
+    row = df.agg(F.count("*"), *[F.count(c) for c in cols],
+                 *[F.approx_count_distinct(c) for c in cols]).first()
+    counts = dict(zip(cols, row[1:len(cols) + 1]))
+    sizes = dict(zip(cols, row[len(cols) + 1:]))
+    holed = [c for c in cols if counts[c] < row[0]]
     masks = {f"m{cols.index(c)}": F.col(c).isNotNull() for c in holed}
     # Read once per column below, so it is written out instead of recomputed.
     ranks = materialize(
@@ -117,7 +119,7 @@ def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str],
         if sizes[c] <= BROADCAST_RANKS:
             side = F.broadcast(side)
         wide = wide.join(side, f"v{i}", "left")
-    return wide, holed, {c: counts[c] for c in cols}
+    return wide, holed, counts
 
 
 def spearman_matrix(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES) -> DataFrame:

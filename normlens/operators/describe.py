@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normlens import spec as S
-from normlens.functions.numeric import round_even, rows_from_columns
+from normlens.functions.numeric import pick, round_even, rows_from_columns
 from normlens.operators.ranking import Quantile, exact_quantiles
 from normlens.plans.relational import available_columns, with_row
 
@@ -32,7 +32,7 @@ def _moments_and_quartiles(df: DataFrame, cols: list[str], shape: bool) -> DataF
     quartiles = exact_quantiles(df, [
         Quantile(f"{c}_{tag}", c, p, bounded=c in BOUNDED_SCORES) for c in cols for tag, p in QUARTILES])
     picked = [
-        F.coalesce(*[F.when(F.col("Variable") == c, F.col(f"_q.{c}_{tag}")) for c in cols]).alias(tag)
+        pick("Variable", {c: F.col(f"_q.{c}_{tag}") for c in cols}).alias(tag)
         for tag, _ in QUARTILES
     ]
     return with_row(long.groupBy("Variable").agg(*aggs), quartiles, "_q").select("*", *picked).drop("_q")

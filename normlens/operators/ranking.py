@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from normlens.functions.numeric import rows_from_columns
+from normlens.functions.numeric import pick, rows_from_columns
 from normlens.plans.relational import with_row
 
 # Collapsed columns of at most this many values are handled by one task. Scores
@@ -80,14 +80,6 @@ def value_counts(df: DataFrame, values: dict[str, Column],
     )
 
 
-def _by_variable(branches: dict[str, Column]) -> Column:
-    out = None
-    for name, value in branches.items():
-        cond = F.col("variable") == name
-        out = F.when(cond, value) if out is None else out.when(cond, value)
-    return out
-
-
 def _named(measure: str, kind: str) -> str:
     return measure.replace("n", kind, 1)
 
@@ -128,7 +120,7 @@ def value_ranks(df: DataFrame, values: dict[str, Column],
         v = v.cast("double")
         chosen = F.when(F.pmod(F.xxhash64(v), F.lit(every)) == 0, v)
         splits.append(F.percentile(chosen, probs).alias(f"s{i}"))
-    points = _by_variable({name: F.col(f"_splits.s{i}") for i, name in enumerate(values)})
+    points = pick("variable", {name: F.col(f"_splits.s{i}") for i, name in enumerate(values)})
     steps = [F.lit(1 << b) for b in reversed(range(buckets.bit_length() - 1))]
 
     def advance(at: Column, step: Column) -> Column:
@@ -192,7 +184,7 @@ def _collapsed(df: DataFrame, groups: dict[str, list[Quantile]]) -> DataFrame:
     probs = sorted({q.prob for g in groups.values() for q in g})
     table = counts.groupBy("variable").agg(
         F.percentile("value", F.array(*[F.lit(p) for p in probs]), F.col("n")).alias("all"))
-    picked = _by_variable({name: F.array(*[F.get("all", F.lit(probs.index(q.prob))) for q in g])
+    picked = pick("variable", {name: F.array(*[F.get("all", F.lit(probs.index(q.prob))) for q in g])
                            for name, g in groups.items()})
     return _one_row(table.select("variable", picked.alias("qs")), groups)
 
@@ -203,7 +195,7 @@ def _bucketed(df: DataFrame, groups: dict[str, list[Quantile]], sizes: dict[str,
     slots = max(len(g) for g in groups.values())
     aggs = []
     for j in range(slots):
-        prob = _by_variable({n: F.lit(g[j].prob) for n, g in groups.items() if len(g) > j})
+        prob = pick("variable", {n: F.lit(g[j].prob) for n, g in groups.items() if len(g) > j})
         pos = prob * (F.col("total") - 1)
         lower = F.min(F.when(F.col("cum") > F.floor(pos), F.col("value")))
         upper = F.min(F.when(F.col("cum") > F.ceil(pos), F.col("value")))

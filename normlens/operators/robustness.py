@@ -11,7 +11,7 @@ from normlens.operators.bands import band_sensitivity_inclusive
 from normlens.operators.correlate import spearman_pair
 from normlens.operators.ranking import Quantile, exact_quantiles
 from normlens.operators.targets import minmax_scale, zscore
-from normlens.plans.relational import available_columns, with_row
+from normlens.plans.relational import available_columns, materialize, with_row
 from normlens.spec import DEFAULT_SPEC, NormSpec
 
 
@@ -89,11 +89,15 @@ def scaling_sensitivity(df: DataFrame, spec: NormSpec = DEFAULT_SPEC) -> DataFra
 
 
 def robustness_summary(df: DataFrame, spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
-    """All checks stacked by column name; cells a check lacks read N/A."""
+    """All checks stacked by column name; cells a check lacks read N/A.
+
+    Each check is written out on its own, a few rows each: planning all of them
+    as one union makes the plan far slower than its parts.
+    """
     parts = [formula_comparison(df, spec=spec), band_sensitivity_inclusive(df, spec=spec),
              scaling_sensitivity(df, spec)]
     out = None
     for part in parts:
-        text = part.select(*[F.col(c).cast("string").alias(c) for c in part.columns])
+        text = materialize(part.select(*[F.col(c).cast("string").alias(c) for c in part.columns]))
         out = text if out is None else out.unionByName(text, allowMissingColumns=True)
     return out.na.fill(S.NOT_AVAILABLE)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens import spec as S
-from normlens.functions.numeric import fixed_text, in_band, percent, round_even, rows_from_columns
+from normlens.functions.numeric import fixed_text, in_band, percent, pick, round_even, rows_from_columns
 from normlens.operators.describe import BOUNDED_SCORES
 from normlens.operators.ranking import Quantile, exact_quantiles
 from normlens.plans.relational import with_row
@@ -43,48 +43,47 @@ def subgroup_coverage(df: DataFrame, spec: NormSpec = DEFAULT_SPEC) -> DataFrame
         requests.append(Quantile("cut_high", score, spec.high_quantile, bounded=score in BOUNDED_SCORES))
     cuts = exact_quantiles(df, requests) if requests else None
     source = with_row(df, cuts, "_cut") if cuts is not None else df
-    none = F.lit(None).cast("double")
-    parts: list[tuple[str, str, Column, Column, Column]] = []
+    labels: dict[str, Column] = {}
+    cut_of: dict[str, Column] = {}
+    note_of: dict[str, Column] = {}
     for variable, alias in SPLIT_VARIABLES:
         if c[alias] in df.columns:
             cut = F.col(f"_cut.cut_{alias}")
-            parts.append((variable, c[alias], median_label(F.col(c[alias]), cut), cut,
-                          F.concat(F.lit("Median split; cutoff = "), fixed_text(cut, 4))))
+            labels[variable], cut_of[variable] = median_label(F.col(c[alias]), cut), cut
+            note_of[variable] = F.concat(F.lit("Median split; cutoff = "), fixed_text(cut, 4))
     if c["pos"] in df.columns:
-        parts.append((S.POS_VARIABLE, c["pos"], F.coalesce(F.col(c["pos"]).cast("string"), F.lit("Unknown")),
-                      none, F.lit("Nominal categories; no split applied")))
+        labels[S.POS_VARIABLE] = F.coalesce(F.col(c["pos"]).cast("string"), F.lit("Unknown"))
+        note_of[S.POS_VARIABLE] = F.lit("Nominal categories; no split applied")
     if valence in df.columns:
         band = spec.primary_band
-        parts.append((S.NEAR_NEUTRAL_VARIABLE, valence,
-                      F.when(in_band(valence, band.lo, band.hi),
-                             F.lit(f"Near-neutral [{band.lo},{band.hi}]")).otherwise("Non-neutral"),
-                      none, F.lit(f"Near-neutral defined as Valence ∈ [{band.lo}, {band.hi}]")))
+        labels[S.NEAR_NEUTRAL_VARIABLE] = F.when(
+            in_band(valence, band.lo, band.hi),
+            F.lit(f"Near-neutral [{band.lo},{band.hi}]")).otherwise("Non-neutral")
+        note_of[S.NEAR_NEUTRAL_VARIABLE] = F.lit(
+            f"Near-neutral defined as Valence ∈ [{band.lo}, {band.hi}]")
     if score in df.columns:
         cut = F.col("_cut.cut_high")
-        parts.append((score, score,
-                      F.when(F.coalesce(F.col(score) > cut, F.lit(False)),
-                             F.lit(f"High ambivalence (>{spec.high_quantile:.0%} quantile)"))
-                      .otherwise("Low/moderate ambivalence"), cut,
-                      F.concat(F.lit(f"High = above Q{spec.high_quantile * 100:.0f} = "), fixed_text(cut, 4))))
+        labels[score], cut_of[score] = F.when(
+            F.coalesce(F.col(score) > cut, F.lit(False)),
+            F.lit(f"High ambivalence (>{spec.high_quantile:.0%} quantile)"),
+        ).otherwise("Low/moderate ambivalence"), cut
+        note_of[score] = F.concat(F.lit(f"High = above Q{spec.high_quantile * 100:.0f} = "), fixed_text(cut, 4))
     long = source.select(rows_from_columns([
-        F.struct(F.lit(v).alias("Variable"), label.alias("Subgroup"),
-                 cut.alias("cut"), note.alias("Cutoff_note"))
-        for v, _, label, cut, note in parts
-    ]))
-    counted = long.groupBy("Variable", "Subgroup").agg(
-        F.count("*").alias("N"), F.any_value("cut").alias("cut"),
-        F.any_value("Cutoff_note").alias("Cutoff_note"))
-    # The window only sees one row per subgroup.
+        F.struct(F.lit(v).alias("Variable"), label.alias("Subgroup")) for v, label in labels.items()]))
+    counted = long.groupBy("Variable", "Subgroup").agg(F.count("*").alias("N"))
+    # From here on there is one row per subgroup; cut-offs and notes join it now.
     every = Window.partitionBy("Variable")
     sized = counted.withColumns({
         "rows": F.sum("N").over(every),
         "missing": F.sum(F.when(F.col("Subgroup").isNull(), F.col("N")).otherwise(0)).over(every),
     }).where(F.col("Subgroup").isNotNull())
+    if cuts is not None:
+        sized = with_row(sized, cuts, "_cut")
     table = sized.select(
         "Variable", "Subgroup", "N",
         percent(F.col("N"), F.col("rows")).alias("Pct_of_total"),
-        round_even("cut", 4).alias("Cutoff"),
-        "Cutoff_note",
+        round_even(pick("Variable", cut_of) if cut_of else F.lit(None).cast("double"), 4).alias("Cutoff"),
+        pick("Variable", note_of).alias("Cutoff_note"),
         F.col("missing").alias("N_missing_in_var"),
         F.when(F.col("N") >= spec.min_group_rows, "YES")
         .otherwise(f"WARN: N<{spec.min_group_rows}").alias("Reliable"),

@@ -12,6 +12,8 @@ def local_session(cpus: int = 8, name: str = "normlens") -> SparkSession:
         .appName(name)
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
+        # Small local tables still deserve all cores after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -48,11 +48,16 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
 def pearson(a: ColumnOrName, b: ColumnOrName) -> Column:
     """Aggregate Pearson r over rows where both sides are non-NULL.
 
-    Unlike ``corr`` this yields NULL instead of failing when a side is constant.
+    Unlike ``corr`` this yields NULL instead of failing when a side is constant,
+    which is told by its range: merged moments of a constant are not always zero.
     """
     a, b = as_col(a), as_col(b)
+    varies = F.lit(True)
+    for here, other in ((a, b), (b, a)):
+        value = F.when(other.isNotNull(), here)
+        varies = varies & (F.min(value) < F.max(value))
     spread = F.sqrt(F.regr_sxx(a, b) * F.regr_syy(a, b))
-    return F.try_divide(F.regr_sxy(a, b), spread)
+    return F.when(varies, F.try_divide(F.regr_sxy(a, b), spread))
 
 
 def strength_label(r: ColumnOrName) -> Column:

@@ -7,8 +7,10 @@ from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from normlens.llm.frames import map_batches, texts_of
+from normlens.llm.simhash import near_duplicates
 from normlens.llm.substring_dedup import remove_repeated
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +25,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts whose 3-word SimHash fingerprints are linked at 3 bits."""
+    return near_duplicates(documents(spark, sf_dir), size=3, radius=3).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed under repeated 35-word windows, and the hash of what is kept."""
     cut = remove_repeated(documents(spark, sf_dir), width=35)
@@ -35,6 +43,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
 }
 

@@ -254,8 +254,12 @@ def _hot_windows(rows: DataFrame, width: int) -> DataFrame:
         return pa.record_batch([batch.column("_k1").take(take), batch.column("_k2").take(take), pa.array(at, pa.int32()),
                                 pa.array(window)], names=["_k1", "_k2", "lo", "window"])
     windows = map_batches(rows, run, "_k1 long, _k2 long, lo int, window long")
-    repeated = materialize(windows.groupBy("window").count().where("count > 1").select("window"))
-    return windows.join(repeated, "window").select("_k1", "_k2", "lo", (F.col("lo") + width).alias("hi"))
+    # One plan, so that the exchange of the texts is shared with the other
+    # branches. The key is renamed by an expression: both sides of the join are
+    # then exchanges, and Spark can split a window that very many texts have.
+    again = windows.groupBy("window").count().where("count > 1").select(F.bitwise_not("window").alias("key"))
+    return (windows.withColumn("key", F.bitwise_not("window")).join(again, "key")
+            .select("_k1", "_k2", "lo", (F.col("lo") + width).alias("hi")))
 
 
 def repeated_spans(docs: DataFrame, width: int = 35, gram: int = GRAM, hot: int = HOT) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from hashlib import sha256
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normlens.llm import byte_bpe, language_id, quality_cnn, toxicity
 from normlens.llm.frames import map_batches, texts_of
 from normlens.llm.simhash import near_duplicates
 from normlens.llm.substring_dedup import remove_repeated
@@ -25,6 +27,33 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document, and whether it is toxic."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return toxicity.grade(documents(spark, sf_dir), labels).select("doc_id", "severity", "is_toxic")
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(documents(spark, sf_dir), path, pattern).select("doc_id", "ids")
+    decoded = byte_bpe.decode(encoded, path, pattern)
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column("ids")
+        spelled = [sha256(" ".join(map(str, x.values.to_numpy().tolist())).encode()).hexdigest() for x in ids]
+        bytes_of = [sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]
+        n = pa.array([len(x) for x in ids], pa.int64())
+        return pa.record_batch([batch.column("doc_id"), n, pa.array(spelled, pa.string()), pa.array(bytes_of, pa.string())],
+                               names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return map_batches(decoded, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a byte convolutional network."""
+    return language_id.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts whose 3-word SimHash fingerprints are linked at 3 bits."""
     return near_duplicates(documents(spark, sf_dir), size=3, radius=3).select(
@@ -42,7 +71,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(cut, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a byte-level convolutional network."""
+    return quality_cnn.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op5_language_id": op5_language_id,
+    "op10_quality_cnn": op10_quality_cnn,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
 }

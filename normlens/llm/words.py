@@ -89,9 +89,13 @@ class WordTable:
         self.n = np.diff(self.first)
         if hashed:
             up, down = powers(BYTE_BASE, len(self.data))
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER if lower else _CODES)[self.data] * up)))
-            self.hash = mix((total[self.end] - total[self.start]) * down[self.start]
-                            + (self.end - self.start).astype(np.uint64))
+            self._total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((_LOWER if lower else _CODES)[self.data] * up)))
+            self._down = down
+            self.hash = self.piece_hash(self.start, self.end)
+
+    def piece_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Identities of byte spans."""
+        return mix((self._total[end] - self._total[start]) * self._down[start] + (end - start).astype(np.uint64))
 
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.n)), self.n)

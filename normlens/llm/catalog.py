@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
+from functools import partial
 from hashlib import sha256
 
 import public_tokenizers
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlens.llm import byte_bpe, language_id, quality_cnn, toxicity
+from normlens.llm import byte_bpe, decontaminate, language_id, license_scan, quality_cnn, quality_rules, token_file, toxicity
 from normlens.llm.frames import map_batches, texts_of
 from normlens.llm.simhash import near_duplicates
 from normlens.llm.substring_dedup import remove_repeated
@@ -33,6 +35,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(documents(spark, sf_dir), labels).select("doc_id", "severity", "is_toxic")
 
 
+def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to packed files in doc_id order, and read back."""
+    folder = token_file.new_folder(spark)
+    encoder = partial(token_file.word_encoder, public_tokenizers.path("word_bpe_49k.json"))
+    token_file.write(documents(spark, sf_dir), encoder, folder, end_id=2)
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids = batch.column("ids").to_pylist()
+        return pa.record_batch([batch.column("doc_id"), batch.column("start"), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                                pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    return map_batches(token_file.read(spark, folder), digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to, as digests."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -49,11 +64,22 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(decoded, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License labels of every document."""
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a byte convolutional network."""
     return language_id.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak benchmark items; clean documents have no row."""
+    leaks = decontaminate.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return leaks.select("doc_id", "item_id", "cosine", "lcs", "answer_lcs")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts whose 3-word SimHash fingerprints are linked at 3 bits."""
     return near_duplicates(documents(spark, sf_dir), size=3, radius=3).select(
@@ -71,6 +97,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return map_batches(cut, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failed rules and the current policy's verdict of every document."""
+    rules = quality_rules
+    return rules.ledger(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        rules.fails(rules.BASE).alias("base_failed"), (~rules.fails(rules.CURRENT)).alias("kept"), "failed")
+
+
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a byte-level convolutional network."""
     return quality_cnn.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -78,11 +112,15 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
+    "op2_token_file": op2_token_file,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_license_scan": op4_license_scan,
     "op5_language_id": op5_language_id,
-    "op10_quality_cnn": op10_quality_cnn,
+    "op6_decontaminate": op6_decontaminate,
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_quality_cnn": op10_quality_cnn,
 }
 
 WINDOWS_35 = """
@@ -102,6 +140,34 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
 FROM words LEFT JOIN lost USING (doc_id)
 """
 
+RULES_SQL = """
+WITH words AS (
+  SELECT doc_id, text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+  FROM documents),
+windows AS (
+  SELECT doc_id, s, array_to_string(w[s:s + 7], ' ') AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS s FROM words WHERE len(w) >= 8)),
+again AS (SELECT doc_id, h FROM windows GROUP BY doc_id, h HAVING count(*) > 1),
+repeats AS (
+  SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + 8)) AS i FROM windows SEMI JOIN again USING (doc_id, h))
+  GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(length(array_to_string(w, '')), 0)::BIGINT AS word_chars,
+    length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+    len(lines)::BIGINT AS n_lines
+  FROM words LEFT JOIN repeats USING (doc_id)),
+bits AS (
+  SELECT *, ((n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_words)::BIGINT + 4 * (2 * n_symbols > n_words)::BIGINT
+    + 8 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT
+    + 32 * (word_chars > 25 * n_words)::BIGINT) AS failed
+  FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed
+FROM bits
+"""
+
 ORACLES: dict[str, str] = {
     "op8_substring_dedup": WINDOWS_35,
+    "op9_quality_rules": RULES_SQL,
 }

@@ -39,6 +39,8 @@ from pyspark.sql import types as T
 from normlens.llm.frames import map_batches, ready, texts_of
 
 LEAF_BITS = 8
+#: Two ids of this many bits name a pair.
+ID_BITS = 20
 #: Chunks, and pre-tokens, that a worker remembers; the oldest half is forgotten.
 REMEMBERED = 300_000
 #: Longer chunks are rare and are not remembered.
@@ -113,12 +115,21 @@ class ByteBPE:
         self.pieces = regex.compile(pattern).findall
         size = max(ranks.values(), default=-1) + 1
         self.tokens: list[bytes | None] = [None] * size
+        #: Rank of the token that two neighbouring tokens make, by both ids.
+        self.pairs: dict[int, int] = {}
         self.pair_rank = np.full(1 << 16, -1, dtype=np.int32)
+        self.byte_rank = np.full(256, -1, dtype=np.int32)
         used = set()
         for token, rank in ranks.items():
             self.tokens[rank] = token
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    self.pairs[left << ID_BITS | right] = rank
             if len(token) > 1:
                 used.update(token)
+            else:
+                self.byte_rank[token[0]] = rank
             if len(token) == 2:
                 self.pair_rank[token[0] << 8 | token[1]] = rank
         self.barrier = bytes([next(b for b in UNUSED_BYTES if b not in used)])
@@ -126,12 +137,13 @@ class ByteBPE:
 
     def merge(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each pre-token; all of them share one queue."""
-        ranks = self.ranks
-        whole = self.barrier.join(pieces) + self.barrier
+        whole = self.barrier + self.barrier.join(pieces) + self.barrier
         n = len(whole)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue = RankQueue()
         data = np.frombuffer(whole, dtype=np.uint8).astype(np.int32)
+        # A barrier has no id; with -1 on either side no pair is found.
+        token = np.where(data == self.barrier[0], -1, self.byte_rank[data]).tolist()
         first = self.pair_rank[data[:-1] << 8 | data[1:]]
         order = np.argsort(first, kind="stable")
         order = order[np.searchsorted(first[order], 0):]
@@ -140,7 +152,7 @@ class ByteBPE:
             queue.fill(rank, places.tolist())
         pair = first.tolist()
         pair.append(-1)
-        buckets, lookup = queue.buckets, ranks.get
+        buckets, lookup = queue.buckets, self.pairs.get
         taken = queue.pop()
         while taken:
             rank, bucket = taken
@@ -149,33 +161,41 @@ class ByteBPE:
             for index, at in enumerate(bucket):
                 if pair[at] != rank:
                     continue  # stale: the symbol here is gone, or it or the next one has grown
-                middle = after[at]
+                middle, left = after[at], before[at]
                 end = after[middle]
                 after[at], before[end] = end, at
-                pair[middle] = -1
-                lowest, left = rank, before[at]
-                for place, new in ((at, lookup(whole[at:after[end]])), (left, lookup(whole[left:end]) if left >= 0 else None)):
-                    if new is None:
-                        pair[place] = -1
+                token[at], pair[middle] = rank, -1
+                lowest = rank
+                new = lookup(rank << ID_BITS | token[end])
+                if new is None:
+                    pair[at] = -1
+                else:
+                    pair[at] = new
+                    if new in buckets:
+                        buckets[new].append(at)
+                    else:
+                        queue.push(new, at)
+                    lowest = min(lowest, new)
+                new = lookup(token[left] << ID_BITS | rank)
+                if new is None:
+                    pair[left] = -1
+                else:
+                    pair[left] = new
+                    if new in buckets:
+                        buckets[new].append(left)
                     else:
-                        pair[place] = new
-                        waiting = buckets.get(new)
-                        if waiting is None:
-                            queue.push(new, place)
-                        else:
-                            waiting.append(place)
-                        if new < lowest:
-                            lowest = new
+                        queue.push(new, left)
+                    lowest = min(lowest, new)
                 if lowest < rank:
                     for place in bucket[index + 1:]:
                         queue.push(rank, place)
                     break
             taken = queue.pop()
-        out, at = [], 0
+        out, at = [], 1
         for piece in pieces:
             ids, end = [], at + len(piece)
             while at < end:
-                ids.append(ranks[whole[at:after[at]]])
+                ids.append(token[at])
                 at = after[at]
             out.append(ids)
             at += 1
@@ -211,37 +231,35 @@ class ByteBPE:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers in bytes."""
         chunks = self.chunks
-        listed: list[list[str]] = []
-        found: list[list[bytes | None]] = []
-        missing: dict[str, None] = {}
+        found: list[tuple[list[str], list[bytes | None], list[int]]] = []
+        missing: dict[str, bytes] = {}
         for text in texts:
             # Each part but the first stands for a space and itself.
             parts = text.split(" ")
             parts[0] = FIRST + parts[0]
             ids = list(map(chunks.new.get, parts))
-            if None in ids:
-                for i, part in enumerate(parts):
-                    if ids[i] is None:
-                        ids[i] = chunks.get(part)
-                if None in ids:
-                    if any(part[-1:].isspace() or not part for part, x in zip(parts, ids) if x is None):
-                        parts = self._joined(parts)
-                        ids = [chunks.new.get(part) for part in parts]
-                    missing.update((part, None) for part, x in zip(parts, ids) if x is None)
-            listed.append(parts)
-            found.append(ids)
+            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            for i in holes:
+                ids[i] = chunks.get(parts[i])
+            holes = [i for i in holes if ids[i] is None]
+            if any(not parts[i] or parts[i] == FIRST or parts[i][-1].isspace() for i in holes):
+                parts = self._joined(parts)
+                ids = [chunks.new.get(part) for part in parts]
+                holes = [i for i, x in enumerate(ids) if x is None]
+            for i in holes:
+                missing[parts[i]] = b""
+            found.append((parts, ids, holes))
         if missing:
             spelled = {part: part[1:] if part[:1] == FIRST else " " + part for part in missing}
             learned = self._learn(list(dict.fromkeys(spelled.values())))
             for part, text in spelled.items():
+                missing[part] = learned[text]
                 if len(part) <= REMEMBERED_CHARS and part and not part[-1].isspace() and part != FIRST:
                     chunks.put(part, learned[text])
-            for parts, ids in zip(listed, found):
-                if None in ids:
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            ids[i] = learned[spelled[parts[i]]]
-        return [b"".join(ids) for ids in found]
+            for parts, ids, holes in found:
+                for i in holes:
+                    ids[i] = missing[parts[i]]
+        return [b"".join(ids) for _, ids, _ in found]
 
     @staticmethod
     def _joined(parts: list[str]) -> list[str]:
@@ -296,6 +314,8 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = coder(path, pattern)
-        made = [bpe.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in batch.column(ids)]
+        column = batch.column(ids)
+        flat, ends = column.flatten().to_numpy(), np.cumsum([0, *column.value_lengths().fill_null(0).to_pylist()]).tolist()
+        made = [bpe.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
         return pa.record_batch([*batch.columns, pa.array(made, pa.binary())], names=schema.names)
     return map_batches(kept, run, schema)

@@ -52,16 +52,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to, as digests."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = byte_bpe.encode(documents(spark, sf_dir), path, pattern).select("doc_id", "ids")
-    decoded = byte_bpe.decode(encoded, path, pattern)
-
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = batch.column("ids")
-        spelled = [sha256(" ".join(map(str, x.values.to_numpy().tolist())).encode()).hexdigest() for x in ids]
-        bytes_of = [sha256(x).hexdigest() for x in batch.column("decoded").to_pylist()]
-        n = pa.array([len(x) for x in ids], pa.int64())
-        return pa.record_batch([batch.column("doc_id"), n, pa.array(spelled, pa.string()), pa.array(bytes_of, pa.string())],
-                               names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return map_batches(decoded, digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return byte_bpe.decode(encoded, path, pattern).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

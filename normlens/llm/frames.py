@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from normlens.session import ship_package
+
 #: Rows in one Arrow batch, so that a batch of long texts stays in tens of MB.
 BATCH_ROWS = 1000
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Give workers this package and bound Arrow batches. Repeated calls do nothing more."""
-    context = spark.sparkContext
-    if not getattr(context, "_normlens_shipped", False):
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "normlens_pkg"), "zip", root, "normlens")
-        context.addPyFile(made)
-        context._normlens_shipped = True
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from normlens import spec as S
 from normlens.functions.numeric import fixed_text, in_band, percent, round_even, rows_from_columns
+from normlens.operators.describe import is_bounded
 from normlens.operators.ranking import Quantile, exact_quantiles
 from normlens.plans.relational import require_columns, with_row
 from normlens.spec import DEFAULT_SPEC, Band, NormSpec
@@ -28,7 +29,7 @@ def high_thresholds(df: DataFrame, prob: float) -> DataFrame:
     The scores are 6-decimal values in [0, 1], so the number of distinct values
     is bounded no matter how many rows there are.
     """
-    return exact_quantiles(df, [Quantile(c, c, prob, bounded=True) for c in SCORES])
+    return exact_quantiles(df, [Quantile(c, c, prob, bounded=is_bounded(c)) for c in SCORES])
 
 
 def band_stats(df: DataFrame, bands: Sequence[Band], inclusive: bool = False,

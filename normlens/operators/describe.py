@@ -11,9 +11,17 @@ from normlens import spec as S
 from normlens.functions.numeric import pick, round_even, rows_from_columns
 from normlens.operators.ranking import Quantile, exact_quantiles
 from normlens.plans.relational import available_columns, with_row
+from normlens.spec import NormSpec
 
 # Scores that are 6-decimal values in [0, 1] by construction.
 BOUNDED_SCORES = ("Ambivalence_product", "Ambivalence_min", "PositiveAffect_01", "NegativeAffect_01")
+
+
+def is_bounded(column: str, spec: NormSpec = S.DEFAULT_SPEC) -> bool:
+    """True if the settings leave the score at most 1,000,001 different values."""
+    return column in BOUNDED_SCORES and spec.rescale_range == (0.0, 1.0)
+
+
 QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
 
 
@@ -30,7 +38,7 @@ def _moments_and_quartiles(df: DataFrame, cols: list[str], shape: bool) -> DataF
     if shape:
         aggs += [F.skewness("v").alias("skew"), F.kurtosis("v").alias("kurt")]
     quartiles = exact_quantiles(df, [
-        Quantile(f"{c}_{tag}", c, p, bounded=c in BOUNDED_SCORES) for c in cols for tag, p in QUARTILES])
+        Quantile(f"{c}_{tag}", c, p, bounded=is_bounded(c)) for c in cols for tag, p in QUARTILES])
     picked = [
         pick("Variable", {c: F.col(f"_q.{c}_{tag}") for c in cols}).alias(tag)
         for tag, _ in QUARTILES

@@ -9,6 +9,7 @@ from normlens import spec as S
 from normlens.functions.numeric import pearson, round_even, row_mean, rows_from_columns
 from normlens.operators.bands import band_sensitivity_inclusive
 from normlens.operators.correlate import spearman_pair
+from normlens.operators.describe import is_bounded
 from normlens.operators.ranking import Quantile, exact_quantiles
 from normlens.operators.targets import minmax_scale, zscore
 from normlens.plans.relational import available_columns, materialize, with_row
@@ -20,7 +21,7 @@ def formula_comparison(df: DataFrame, a: str = "Ambivalence_product", b: str = "
     """Product against minimum: correlations, moments and upper-quartile agreement."""
     both = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     limits = exact_quantiles(both, [
-        Quantile(c, c, spec.high_quantile, bounded=True) for c in (a, b)])
+        Quantile(c, c, spec.high_quantile, bounded=is_bounded(c, spec)) for c in (a, b)])
     agree = ((F.col(a) >= F.col(f"_q.{a}")) == (F.col(b) >= F.col(f"_q.{b}"))).cast("int")
     stats = with_row(both, limits, "_q").agg(
         F.count("*").alias("n"),

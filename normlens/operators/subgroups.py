@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normlens import spec as S
 from normlens.functions.numeric import fixed_text, in_band, percent, pick, round_even, rows_from_columns
-from normlens.operators.describe import BOUNDED_SCORES
+from normlens.operators.describe import is_bounded
 from normlens.operators.ranking import Quantile, exact_quantiles
 from normlens.plans.relational import with_row
 from normlens.spec import DEFAULT_SPEC, NormSpec
@@ -40,7 +40,7 @@ def subgroup_coverage(df: DataFrame, spec: NormSpec = DEFAULT_SPEC) -> DataFrame
     requests = [Quantile(f"cut_{alias}", c[alias], 0.5)
                 for _, alias in SPLIT_VARIABLES if c[alias] in df.columns]
     if score in df.columns:
-        requests.append(Quantile("cut_high", score, spec.high_quantile, bounded=score in BOUNDED_SCORES))
+        requests.append(Quantile("cut_high", score, spec.high_quantile, bounded=is_bounded(score, spec)))
     cuts = exact_quantiles(df, requests) if requests else None
     source = with_row(df, cuts, "_cut") if cuts is not None else df
     labels: dict[str, Column] = {}
@@ -72,11 +72,14 @@ def subgroup_coverage(df: DataFrame, spec: NormSpec = DEFAULT_SPEC) -> DataFrame
         F.struct(F.lit(v).alias("Variable"), label.alias("Subgroup")) for v, label in labels.items()]))
     counted = long.groupBy("Variable", "Subgroup").agg(F.count("*").alias("N"))
     # From here on there is one row per subgroup; cut-offs and notes join it now.
-    every = Window.partitionBy("Variable")
-    sized = counted.withColumns({
-        "rows": F.sum("N").over(every),
-        "missing": F.sum(F.when(F.col("Subgroup").isNull(), F.col("N")).otherwise(0)).over(every),
-    }).where(F.col("Subgroup").isNotNull())
+    # The totals are one short row, summed map-side, however many labels there are.
+    totals = counted.agg(F.sum("N").alias("all"), *[
+        F.coalesce(F.sum(F.when((F.col("Variable") == v) & F.col("Subgroup").isNull(), F.col("N"))), F.lit(0)).alias(f"missing_{i}")
+        for i, v in enumerate(labels)])
+    sized = with_row(counted.where(F.col("Subgroup").isNotNull()), totals, "_all").withColumns({
+        "rows": (F.col("_all.all") / len(labels)).cast("long"),
+        "missing": pick("Variable", {v: F.col(f"_all.missing_{i}") for i, v in enumerate(labels)}),
+    })
     if cuts is not None:
         sized = with_row(sized, cuts, "_cut")
     table = sized.select(

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normlens import spec as S
-from normlens.functions.hashing import HASH_RANGE, hash_number, key_text, seeded_digest
+from normlens.functions.hashing import key_text, seeded_digest
 from normlens.functions.numeric import in_band
-from normlens.operators.describe import BOUNDED_SCORES
+from normlens.operators.describe import is_bounded
 from normlens.operators.ranking import Quantile, exact_quantiles
 from normlens.plans.relational import available_columns, with_row
 from normlens.spec import DEFAULT_SPEC, NormSpec
@@ -36,7 +36,7 @@ def exemplars(df: DataFrame, key: list[str], spec: NormSpec = DEFAULT_SPEC) -> D
     band = spec.primary_band
     score = "Ambivalence_product"
     inside = in_band("Valence", band.lo, band.hi)
-    bounded = score in BOUNDED_SCORES
+    bounded = is_bounded(score, spec)
     limits = exact_quantiles(df, [
         Quantile("band_median", score, 0.5, where=inside, bounded=bounded),
         Quantile("pa_high", "PositiveAffect", 0.75),
@@ -65,27 +65,20 @@ def exemplars(df: DataFrame, key: list[str], spec: NormSpec = DEFAULT_SPEC) -> D
 
 
 def seeded_sample(df: DataFrame, key: list[str], n: int, drop_null: tuple[str, ...] = (),
-                  band_col: str | None = None, spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
+                  band_col: str | None = None, sample_first: bool = False,
+                  spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
     """A fixed-size uniform sample without replacement, optionally with a band flag.
 
-    Rows are ordered by a seeded hash of their key and the first n are taken. A
-    hash cut-off set from the row count thins the rows before that sort; if the
-    cut-off happens to leave fewer than n, it is lifted, so the result is exact.
+    Rows are ordered by a seeded hash of their key and the first n are taken, in
+    one scan: each task keeps its n smallest. ``sample_first`` takes the n rows
+    before it drops those with missing values, so fewer may be left.
     """
-    rows = df.dropna(subset=list(drop_null)) if drop_null else df
-    digest = seeded_digest(spec.seed, key_text(key))
-    hashed = rows.withColumn("_digest", digest).withColumn("_hash", hash_number(F.col("_digest")))
-    size = rows.agg(F.count("*").alias("rows"))
-    cut = F.col("_size.rows").cast("double")
-    within = F.col("_hash") * cut < float(HASH_RANGE) * (2 * n + 100)
-    kept = with_row(hashed, size, "_size")
-    enough = kept.agg((F.count_if(within) >= n).alias("ok"))
-    picked = (
-        with_row(kept, enough, "_enough")
-        .where(within | ~F.col("_enough.ok"))
-        .orderBy("_digest", *key).limit(n)
-        .drop("_digest", "_hash", "_size", "_enough")
-    )
+    some = list(drop_null)
+    rows = df.dropna(subset=some) if some and not sample_first else df
+    picked = (rows.withColumn("_digest", seeded_digest(spec.seed, key_text(key)))
+              .orderBy("_digest", *key).limit(n).drop("_digest"))
+    if some and sample_first:
+        picked = picked.dropna(subset=some)
     if band_col is None:
         return picked
     band = spec.primary_band

@@ -338,8 +338,9 @@ NORM_ORACLES: dict[str, str] = {
     "audit_profile": _profile(),
     "audit_out_of_range": _out_of_range(),
     "audit_summary": _summary(),
-    "audit_duplicate_rows": f"""WITH {RATINGS} SELECT (SELECT count(*) FROM ratings) - count(*) AS n_duplicates
-      FROM (SELECT DISTINCT "Happiness", "Anger", "Sadness", "Surprise", "PoS" FROM ratings)""",
+    "audit_duplicate_rows": f"""WITH {RATINGS.rstrip()}, twice AS (SELECT * FROM ratings UNION ALL SELECT * FROM ratings WHERE "Concreteness" < 3)
+      SELECT (SELECT count(*) FROM twice) - count(*) AS n_duplicates
+      FROM (SELECT DISTINCT * FROM twice)""",
     "audit_duplicate_keys": f"""WITH {RATINGS} SELECT count(*) - count(DISTINCT "Word") AS n_duplicates
       FROM ratings""",
     "row_mean": f"""WITH {AFFECT} SELECT {KEYS}, {r('"PositiveAffect"', 6)} AS positive,
@@ -431,7 +432,7 @@ vocab AS (SELECT gram, count(*) AS df, sum(tf)::BIGINT AS tf FROM terms GROUP BY
           ORDER BY sum(tf) DESC, gram LIMIT 50000)"""
 
 WORDS = f"""{LEXICON},
-kept AS (SELECT *, {WORD_FOLD} AS outer_fold FROM lexicon WHERE n_docs >= 3),
+kept AS (SELECT *, {WORD_FOLD} AS outer_fold FROM lexicon),
 words AS (SELECT *, {r('(pos - (SELECT min(pos) FROM kept)) / (SELECT max(pos) - min(pos) FROM kept) * ((neg - (SELECT min(neg) FROM kept)) / (SELECT max(neg) - min(neg) FROM kept))', 6)}
   AS mixed FROM kept)"""
 

@@ -33,11 +33,15 @@ def fits_rows(df: DataFrame, max_rows: int) -> bool:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediates: the one the session names, else a local test folder."""
+    """The folder for intermediates that the session names; a session on one machine may leave it unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="normlens-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="normlens-checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 

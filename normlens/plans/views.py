@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from normlens.functions.numeric import round_even
 from normlens.operators.targets import minmax_scale
 from normlens.plans.relational import materialize
+from normlens.sources.tables import nan_to_null
 
 ROW_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 LEXICON_TARGETS = ("en_share", "pos", "neg", "mixed")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return nan_to_null(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +77,11 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def modelling_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicon words seen in at least three documents, with the mixed target.
+    """All lexicon words with the mixed target.
 
     The lexicon is far smaller than the documents and is read several times, so
     it is written out rather than tokenised again.
     """
-    words = materialize(lexicon(spark, sf_dir).where("n_docs >= 3"))
+    words = materialize(lexicon(spark, sf_dir))
     scaled = minmax_scale(words, ["pos", "neg"], strict=False)
     return scaled.withColumn("mixed", round_even(F.col("pos_01") * F.col("neg_01"), 6)).drop("pos_01", "neg_01")

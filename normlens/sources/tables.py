@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +23,8 @@ NORM_SCHEMA = T.StructType([
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN means missing; downstream expressions rely on NULL."""
-    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in floats}) if floats else df
+    floats = [f for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType)) for f in floats}) if floats else df
 
 
 def _existing(read: Callable[[], DataFrame], path: str) -> DataFrame:
@@ -42,13 +41,18 @@ def read_norms(spark: SparkSession, path: str, fmt: str = "parquet",
                ) -> DataFrame:
     """The raw norms table with NaN turned into NULL.
 
-    CSV needs a schema and reads no word as missing except an empty field.
+    Columns of the file have the types that ``schema`` gives them; columns that
+    it lacks in the file stay absent, others pass through. CSV needs a schema
+    with its columns in order and reads no word as missing except an empty field.
     ``rename`` maps source column names to the expected ones.
     """
     if fmt == "csv":
         df = _existing(lambda: spark.read.schema(schema).csv(path, header=True, enforceSchema=False), path)
     else:
         df = _existing(lambda: spark.read.format(fmt).load(path), path)
+        known = {f.name: f.dataType for f in schema} if schema is not None else {}
+        df = df.withColumns({c: F.col(c).cast(known[c]) for c, kind in df.dtypes
+                             if c in known and df.schema[c].dataType != known[c]})
     return nan_to_null(df.withColumnsRenamed(dict(rename or {})))
 
 
@@ -68,8 +72,7 @@ def write_report(table: DataFrame, path: str) -> None:
 def table_exists(spark: SparkSession, path: str) -> bool:
     """True once a write to ``path`` has completed."""
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(str(Path(path) / "_SUCCESS") if "://" not in path
-                                           else f"{path}/_SUCCESS")
+    target = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 

@@ -13,7 +13,8 @@ def read_vector_text(spark: SparkSession, path: str) -> DataFrame:
 
     Files are split and parsed in parallel. Only the header line goes to the
     driver. A word that occurs more than once keeps its first vector in file
-    order; that choice is combined before the shuffle.
+    order; that choice is combined before the shuffle. A line with another
+    number of values raises when the result is read; empty lines are skipped.
     """
     source = _existing(lambda: spark.read.text(path), path)
     files = sorted(source.inputFiles())
@@ -29,13 +30,13 @@ def read_vector_text(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("position"),
     )
     parts = F.split("line", " ")
-    body = lines.where(F.size(parts) == dim + 1)
-    if dim == 1:
-        # Here the header has the shape of an entry.
-        body = body.where(~((F.col("start") == 0) & (F.col("line") == first["value"].rstrip())))
+    # Every file may begin with a header; any other line must be an entry.
+    header = (F.col("start") == 0) & (F.col("line") == first["value"].rstrip())
+    body = lines.where(~header & (F.col("line") != ""))
+    wrong = F.raise_error(F.concat(F.lit(f"vector line without {dim} values: "), F.substring("line", 1, 80)))
     return (
         body.select(
-            F.get(parts, F.lit(0)).alias("word"),
+            F.when(F.size(parts) == dim + 1, F.get(parts, F.lit(0))).otherwise(wrong).alias("word"),
             F.slice(parts, 2, dim).cast("array<float>").alias("emb"),
             F.struct("file", "start", "position").alias("at"))
         .groupBy("word").agg(F.min_by("emb", "at").alias("emb"))

@@ -116,6 +116,8 @@ class NormSpec:
     ngram_range: tuple[int, int] = (2, 4)
     min_df: int = 3
     max_features: int = 50_000
+    solver_tolerance: float = 1e-4
+    solver_passes: int = 1000
     grid_bins: int = 50
     paired_bins: int = 40
     kde_points: int = 300

@@ -132,9 +132,22 @@ def nested(pdf, target, features, alphas):
     return out
 
 
-def test_ngram_ridge_equals_plain_nested_search(words, monkeypatch):
-    monkeypatch.setattr(ngram_ridge, "TOLERANCE", 1e-10)
-    spec = NormSpec()
+def test_ngram_ridge_stops_loudly_when_unsolved(words):
+    with pytest.raises(ArithmeticError, match="unsolved after 1 passes"):
+        ngram_ridge.ngram_predictions(words, "w", "w", ["y"], NormSpec(solver_passes=1))
+
+
+def test_default_tolerance_changes_no_metric(words):
+    exact = ngram_ridge.ngram_cv(words, "w", "w", ["y"], NormSpec(solver_tolerance=1e-10)).toPandas()
+    usual = ngram_ridge.ngram_cv(words, "w", "w", ["y"]).toPandas()
+    both = exact.merge(usual, on=["target", "outer_fold"], suffixes=("", "_d"))
+    assert len(both) == 5 and (both.alpha == both.alpha_d).all()
+    for c in ("MAE", "RMSE", "Pearson_r"):
+        assert np.allclose(both[c], both[f"{c}_d"], atol=2e-3)
+
+
+def test_ngram_ridge_equals_plain_nested_search(words):
+    spec = NormSpec(solver_tolerance=1e-10)
     got = ngram_ridge.ngram_predictions(words, "w", "w", ["y", "z"], spec).toPandas()
     for target in ("y", "z"):
         pdf = words.toPandas().dropna(subset=[target])

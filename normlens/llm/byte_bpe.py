@@ -37,12 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from normlens.llm.frames import map_batches, ready, texts_of
+from normlens.llm.words import blocks
 
 LEAF_BITS = 8
 #: Two ids of this many bits name a pair.
 ID_BITS = 20
 #: Chunks, and pre-tokens, that a worker remembers; the oldest half is forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Bytes of pre-tokens that share a queue, or one longer pre-token.
+QUEUE_BYTES = 1 << 17
 #: Longer chunks are rare and are not remembered.
 REMEMBERED_CHARS = 64
 #: Marks the first part of a text, which no space stands before; no text holds a lone surrogate.
@@ -221,8 +224,9 @@ class ByteBPE:
                 rest.append(piece)
             else:
                 known[piece] = np.int32(rank).tobytes()
-        if rest:
-            for piece, ids in zip(rest, self.merge([p.encode() for p in rest])):
+        coded = [p.encode() for p in rest]
+        for lo, hi in blocks(coded, QUEUE_BYTES):
+            for piece, ids in zip(rest[lo:hi], self.merge(coded[lo:hi])):
                 known[piece] = np.array(ids, dtype=np.int32).tobytes()
                 if len(piece) <= REMEMBERED_CHARS:
                     self.words.put(piece, known[piece])

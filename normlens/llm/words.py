@@ -16,7 +16,7 @@ import numpy as np
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text in one block, so that arrays of eight bytes a character stay small.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
 
@@ -45,7 +45,7 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Cached for ordinary blocks; made anew for a text beyond them."""
-    room = BLOCK_BYTES * 2
+    room = BLOCK_BYTES + (1 << 14)
     up, down = _powers(base, room) if size <= room else _powers.__wrapped__(base, size)
     return up[:size], down[:size]
 

@@ -12,7 +12,7 @@ from normlens import spec as S
 from normlens.functions.numeric import fixed_text, in_band, percent, round_even, rows_from_columns
 from normlens.operators.describe import is_bounded
 from normlens.operators.ranking import Quantile, exact_quantiles
-from normlens.plans.relational import require_columns, with_row
+from normlens.plans.relational import available_columns, skipped, with_row
 from normlens.spec import DEFAULT_SPEC, Band, NormSpec
 
 SCORES = ("Ambivalence_product", "Ambivalence_min")
@@ -29,7 +29,9 @@ def high_thresholds(df: DataFrame, prob: float) -> DataFrame:
     The scores are 6-decimal values in [0, 1], so the number of distinct values
     is bounded no matter how many rows there are.
     """
-    return exact_quantiles(df, [Quantile(c, c, prob, bounded=is_bounded(c)) for c in SCORES])
+    there = available_columns(df, SCORES)
+    found = exact_quantiles(df, [Quantile(c, c, prob, bounded=is_bounded(c)) for c in there]) if there else df.agg(F.lit(1).alias("_one"))
+    return found.select(*[F.col(c) if c in there else F.lit(None).cast("double").alias(c) for c in SCORES])
 
 
 def band_stats(df: DataFrame, bands: Sequence[Band], inclusive: bool = False,
@@ -38,10 +40,17 @@ def band_stats(df: DataFrame, bands: Sequence[Band], inclusive: bool = False,
 
     Every band is a set of conditional aggregates over one scan, so overlapping
     bands cost no extra rows and empty bands stay in the result. Rows whose
-    score is NULL count in the denominator of the share.
+    score is NULL count in the denominator of the share. Means and shares of
+    columns that the table lacks are NULL; without valence each band has one
+    row (position, threshold_label, error).
     """
-    require_columns(df, ("Valence", *S.DERIVED_TARGETS), "band summary")
-    source = with_row(df, high_thresholds(df, spec.high_quantile), "_high")
+    if "Valence" not in df.columns:
+        return df.sparkSession.createDataFrame(
+            [(i, band.label, "'Valence' column missing") for i, band in enumerate(bands)],
+            "position int, threshold_label string, error string")
+    absent = [c for c in S.DERIVED_TARGETS if c not in df.columns]
+    source = with_row(df, high_thresholds(df, spec.high_quantile), "_high").withColumns(
+        {c: F.lit(None).cast("double") for c in absent})
     aggs = [F.count("*").alias("rows"), *[F.any_value(f"_high.{c}").alias(f"q_{c}") for c in SCORES]]
     for i, band in enumerate(bands):
         inside = in_band("Valence", band.lo, band.hi)
@@ -60,10 +69,8 @@ def band_stats(df: DataFrame, bands: Sequence[Band], inclusive: bool = False,
             F.col(f"n{i}").alias("n_near_neutral"),
             percent(F.col(f"n{i}"), F.col("rows")).alias("pct_of_total"),
             *[round_even(f"m{i}_{c}", 4).alias(f"mean_{c}") for c in S.DERIVED_TARGETS],
-            percent(F.col(f"h{i}_Ambivalence_product"), F.col(f"n{i}"))
-            .alias("pct_high_ambivalence_product"),
-            percent(F.col(f"h{i}_Ambivalence_min"), F.col(f"n{i}"))
-            .alias("pct_high_ambivalence_min"),
+            *[(F.lit(None).cast("double") if c in absent else percent(F.col(f"h{i}_{c}"), F.col(f"n{i}")))
+              .alias(f"pct_high_{c.lower()}") for c in SCORES],
             round_even("q_Ambivalence_product", 4).alias("high_amb_product_threshold_Q3"),
             round_even("q_Ambivalence_min", 4).alias("high_amb_min_threshold_Q3"),
         )
@@ -85,7 +92,10 @@ def _with_spread(stats: DataFrame) -> DataFrame:
 def band_sensitivity(df: DataFrame, bands: Sequence[Band] | None = None,
                      spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
     """Band summary for each band plus the verdict on the spread of the high share."""
-    stats = _with_spread(band_stats(df, bands or spec.bands, spec=spec))
+    stats = band_stats(df, bands or spec.bands, spec=spec)
+    if "Valence" not in df.columns:
+        return stats.drop("position")
+    stats = _with_spread(stats)
     verdict = F.when(F.col("spread") <= spec.spread_tolerance, S.VERDICT_BAND_ROBUST).when(
         F.col("spread") > spec.spread_tolerance, S.VERDICT_BAND_SENSITIVE)
     return (
@@ -98,6 +108,8 @@ def band_sensitivity(df: DataFrame, bands: Sequence[Band] | None = None,
 def band_sensitivity_inclusive(df: DataFrame, bands: Sequence[Band] | None = None,
                                spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
     """The robustness variant: a score equal to the quantile counts as high."""
+    if "Valence" not in df.columns:
+        return skipped(df, S.SKIPPED_BANDS)
     stats = _with_spread(band_stats(df, bands or spec.bands, inclusive=True, spec=spec))
     lead = F.concat(F.lit("Max diff in %high-ambivalence across thresholds = "),
                     fixed_text("spread", 1), F.lit("% - "))

@@ -12,13 +12,15 @@ from normlens.operators.correlate import spearman_pair
 from normlens.operators.describe import is_bounded
 from normlens.operators.ranking import Quantile, exact_quantiles
 from normlens.operators.targets import minmax_scale, zscore
-from normlens.plans.relational import available_columns, materialize, with_row
+from normlens.plans.relational import available_columns, materialize, skipped, with_row
 from normlens.spec import DEFAULT_SPEC, NormSpec
 
 
 def formula_comparison(df: DataFrame, a: str = "Ambivalence_product", b: str = "Ambivalence_min",
                        spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
     """Product against minimum: correlations, moments and upper-quartile agreement."""
+    if a not in df.columns or b not in df.columns:
+        return skipped(df, S.SKIPPED_FORMULA)
     both = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     limits = exact_quantiles(both, [
         Quantile(c, c, spec.high_quantile, bounded=is_bounded(c, spec)) for c in (a, b)])
@@ -75,6 +77,8 @@ def source_sensitivity(df: DataFrame, spec: NormSpec = DEFAULT_SPEC) -> DataFram
 def scaling_sensitivity(df: DataFrame, spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
     """Correlation of the product score under min-max and under shifted z-scores."""
     cols = ["PositiveAffect", "NegativeAffect"]
+    if len(available_columns(df, cols)) < len(cols):
+        return skipped(df, S.SKIPPED_SCALING)
     plain = minmax_scale(df.select(*cols), cols, suffix="_mm", strict=False)
     shifted = minmax_scale(zscore(plain, cols), [f"{c}_z" for c in cols], suffix="_mm", strict=False)
     stats = shifted.agg(pearson(F.col("PositiveAffect_mm") * F.col("NegativeAffect_mm"),

@@ -297,7 +297,8 @@ def _formula() -> str:
         {r('avg(a)', 4)} AS mean_product, {r('stddev_samp(a)', 4)} AS "SD_product",
         {r('avg(b)', 4)} AS mean_min, {r('stddev_samp(b)', 4)} AS "SD_min",
         {r('avg(CASE WHEN (a >= qa) = (b >= qb) THEN 1e0 ELSE 0e0 END)', 4)} AS "top_Q3_agreement",
-        CASE WHEN corr(a, b) >= 0.90 THEN '{S.VERDICT_SIMILAR}' ELSE '{S.VERDICT_DIVERGE}' END AS conclusion
+        CASE WHEN corr(a, b) >= 0.90 THEN 'Formulas are HIGHLY SIMILAR (r≥0.90); both can be reported as converging.'
+        ELSE 'Formulas DIVERGE meaningfully; Ambivalence_min is more conservative. Report both and note the difference in thesis limitations.' END AS conclusion
       FROM ranked, q)"""
 
 
@@ -312,7 +313,8 @@ def _scaling() -> str:
         FROM affect, m),
       scaling AS (SELECT 'Scaling sensitivity' AS "check", 'Min-max to [0,1] (PRIMARY)' AS "Scaling_A",
         'Z-score → shift to [0,1]' AS "Scaling_B", {r('corr(a, b)', 4)} AS "Pearson_r_between",
-        CASE WHEN corr(a, b) >= 0.95 THEN '{S.VERDICT_SCALING_ROBUST}' ELSE '{S.VERDICT_SCALING_EFFECT}' END
+        CASE WHEN corr(a, b) >= 0.95 THEN 'Ambivalence scores are ROBUST to scaling choice (r≥0.95).'
+        ELSE 'Scaling choice has MATERIAL EFFECT on ambivalence; discuss in methods.' END
           AS conclusion FROM s)"""
 
 

@@ -27,6 +27,11 @@ def available_columns(df: DataFrame, wanted: list[str] | tuple[str, ...]) -> lis
     return [c for c in wanted if c in df.columns]
 
 
+def skipped(df: DataFrame, reason: tuple[str, str]) -> DataFrame:
+    """One row (check, status) for a check whose columns the table lacks."""
+    return df.sparkSession.createDataFrame([reason], "check string, status string")
+
+
 def fits_rows(df: DataFrame, max_rows: int) -> bool:
     """True when the frame has at most ``max_rows`` rows; reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -68,13 +68,19 @@ CONSTRUCT_QUESTIONS = (
 STRENGTH_CUTS = ((0.7, "Strong"), (0.4, "Moderate"), (0.2, "Weak"))
 STRENGTH_FLOOR = "Negligible"
 STRENGTH_MISSING = "N/A (column missing)"
-VERDICT_SIMILAR = "Formulas are HIGHLY SIMILAR (r≥0.90)"
-VERDICT_DIVERGE = "Formulas DIVERGE meaningfully"
+VERDICT_SIMILAR = "Formulas are HIGHLY SIMILAR (r≥0.90); both can be reported as converging."
+VERDICT_DIVERGE = (
+    "Formulas DIVERGE meaningfully; Ambivalence_min is more conservative. "
+    "Report both and note the difference in thesis limitations."
+)
 VERDICT_SCALING_ROBUST = "Ambivalence scores are ROBUST to scaling choice (r≥0.95)."
-VERDICT_SCALING_EFFECT = "Scaling choice has MATERIAL EFFECT on ambivalence"
+VERDICT_SCALING_EFFECT = "Scaling choice has MATERIAL EFFECT on ambivalence; discuss in methods."
 VERDICT_BAND_ROBUST = "ROBUST"
 VERDICT_BAND_SENSITIVE = "THRESHOLD-SENSITIVE"
 NOT_AVAILABLE = "N/A"
+SKIPPED_FORMULA = ("Ambivalence formula", "SKIPPED - column missing")
+SKIPPED_BANDS = ("Threshold sensitivity", "SKIPPED - Valence missing")
+SKIPPED_SCALING = ("Scaling sensitivity", "SKIPPED - columns missing")
 # ----------------------------------------------------------------------------
 
 

@@ -49,6 +49,10 @@ _HEAD = struct.Struct("<4sIIQQ")
 
 def pack(ids: np.ndarray, bits: int) -> np.ndarray:
     """Bytes of the ids; the last group of eight is filled with zeros."""
+    if bits in (8, 16, 32):  # whole bytes: the same layout as below
+        whole = np.zeros(-(-len(ids) // 8) * 8, dtype=f"<u{bits // 8}")
+        whole[:len(ids)] = ids
+        return whole.view(np.uint8)
     groups = np.zeros((-(-len(ids) // 8), 8), dtype=np.uint64)
     groups.ravel()[:len(ids)] = ids
     out = np.zeros((len(groups), bits), dtype=np.uint8)
@@ -62,7 +66,10 @@ def pack(ids: np.ndarray, bits: int) -> np.ndarray:
 
 def unpack(data: np.ndarray, bits: int, n: int) -> np.ndarray:
     """The first n ids (uint32) of packed bytes."""
-    groups = data[:-(-n // 8) * bits].reshape(-1, bits)
+    data = data[:-(-n // 8) * bits]
+    if bits in (8, 16, 32):
+        return np.ascontiguousarray(data).view(f"<u{bits // 8}")[:n].astype(np.uint32)
+    groups = data.reshape(-1, bits)
     out = np.empty((len(groups), 8), dtype=np.uint32)
     mask = np.uint64((1 << bits) - 1)
     for k in range(8):
@@ -150,36 +157,49 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words. A comma or point after an ASCII letter at a word's end is a pre-token of its own."""
+        parts = {w: (w[:-1], w[-1:]) if w[-1:] in (b",", b".") and w[-2:-1].isalpha() else (w,) for w in words}
+        known: dict[bytes, bytes] = {}
+        need = []
+        for pieces in parts.values():
+            for piece in pieces:
+                if piece not in known:
+                    ids = self.words.new.get(piece) or self.words.get(piece)
+                    known[piece] = ids
+                    if ids is None:
+                        need.append(piece)
+        known.update(zip(need, self._library([p.decode() for p in need])))
+        out = {w: b"".join([known[p] for p in pieces]) for w, pieces in parts.items()}
+        for table in ({p: known[p] for p in need}, out):
+            for word, ids in table.items():
+                if len(word) <= REMEMBERED_CHARS:
+                    self.words.put(word, ids)
+        return out
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as 32-bit integers in bytes."""
-        listed, found, whole, missing = [], [], [], {}
+        found, whole, missing = [], [], {}
         for text in texts:
             if any(s in text for s in self.special):
                 whole.append(len(found))
-                listed.append([])
-                found.append([])
+                found.append(([], [], []))
                 continue
             words = text.lower().split()
             ids = list(map(self.words.new.get, words))
-            if None in ids:
-                for i, x in enumerate(ids):
-                    if x is None:
-                        ids[i] = x = self.words.get(words[i])
-                        if x is None:
-                            missing[words[i]] = None
-            listed.append(words)
-            found.append(ids)
+            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
+            for i in holes:
+                ids[i] = self.words.get(words[i])
+            holes = [i for i in holes if ids[i] is None]
+            for i in holes:
+                missing[words[i]] = None
+            found.append((words, ids, holes))
         if missing:
-            learned = dict(zip(missing, self._library([w.decode() for w in missing])))
-            for word, ids in learned.items():
-                if len(word) <= REMEMBERED_CHARS:
-                    self.words.put(word, ids)
-            for words, ids in zip(listed, found):
-                if None in ids:
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            ids[i] = learned[words[i]]
-        out = [b"".join(ids) for ids in found]
+            learned = self._learn(list(missing))
+            for words, ids, holes in found:
+                for i in holes:
+                    ids[i] = learned[words[i]]
+        out = [b"".join(ids) for _, ids, _ in found]
         for i, ids in zip(whole, self._library([texts[i].decode() for i in whole])):
             out[i] = ids
         return out

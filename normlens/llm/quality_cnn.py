@@ -28,9 +28,10 @@ CHUNK = 512
 STRIDE = 448
 WIDTHS = (4, 7)
 FILTERS = 10
-#: Labelled documents that are learned from, and chunks of each, evenly spread over the text.
+#: Labelled documents that are learned from, each with all its chunks.
 MAX_LABELLED = 3000
-MAX_CHUNKS = 8
+#: Chunks that are convolved at once while fitting.
+FIT_CHUNKS = 256
 EPOCHS = 8
 #: From this score on a document is predicted to have label 1.
 THRESHOLD = 0.3
@@ -70,7 +71,9 @@ def fit(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, seed:
                 row[:len(chunk)] = np.frombuffer(chunk, dtype=np.uint8)
             count = np.array([len(c) for c in chunks])
             owner, first = np.repeat(np.arange(len(part)), count), np.cumsum(count) - count
-            value, at = conv.pool(rows, places=True)
+            pooled = [conv.pool(rows[i:i + FIT_CHUNKS], places=True) for i in range(0, len(rows), FIT_CHUNKS)]
+            value = np.concatenate([v for v, _ in pooled])
+            at = {width: np.concatenate([p[width] for _, p in pooled]) for width in WIDTHS}
             hidden = np.maximum(value, 0)
             mean = np.add.reduceat(hidden, first, axis=0) / count[:, None]
             top = np.maximum.reduceat(hidden, first, axis=0)
@@ -89,7 +92,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     def sample(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = texts_of(batch.column("text"))
-        rows, owner = windows(texts, CHUNK, STRIDE, MAX_CHUNKS)
+        rows, owner = windows(texts, CHUNK, STRIDE)
         chunks: list[list[bytes]] = [[] for _ in texts]
         for row, i in zip(rows, owner.tolist()):
             chunks[i].append(row.tobytes().rstrip(b"\0"))

@@ -128,3 +128,14 @@ def test_quality_edges(spark):
     assert len(got) == 204 and all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None and r.doc_id < 200)
     assert {r.score for r in quality_cnn.classify(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_cnn.classify(docs.limit(0), labels).count() == 0
+
+
+def test_quality_learns_from_every_chunk(spark, monkeypatch):
+    texts = {i: " ".join(f"word{i}x{j}" for j in range(1500)) for i in (1, 2, 3)}
+    seen = {}
+    monkeypatch.setattr(quality_cnn, "fit", lambda chunks, labels: seen.update(chunks=chunks))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    quality_cnn.train(docs, spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int"))
+    overlap = quality_cnn.CHUNK - quality_cnn.STRIDE
+    whole = {(c[0] + b"".join(x[overlap:] for x in c[1:])).decode() for c in seen["chunks"]}
+    assert whole and whole <= set(texts.values())

@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlens.llm import byte_bpe, decontaminate, language_id, license_scan, quality_cnn, quality_rules, token_file, toxicity
+from normlens.llm import (
+    byte_bpe, decontaminate, fim, language_id, license_scan, quality_cnn, quality_rules, token_file, toxicity)
 from normlens.llm.frames import map_batches, texts_of
 from normlens.llm.simhash import near_duplicates
 from normlens.llm.substring_dedup import remove_repeated
@@ -104,6 +105,14 @@ def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document, and the text rebuilt from it, as digests."""
+    made = fim.restore(fim.transform(documents(spark, sf_dir), seed=1).drop("text"))
+    return made.select("doc_id", F.col("n_units").alias("n"), "form", F.col("prefix_units").alias("prefix_chars"),
+                       F.col("middle_units").alias("middle_chars"), F.sha2("fim", 256).alias("output_sha256"),
+                       F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_file": op2_token_file,
@@ -115,6 +124,7 @@ QUERIES: dict[str, Query] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_cnn": op10_quality_cnn,
+    "op11_fim": op11_fim,
 }
 
 WINDOWS_35 = """
@@ -161,7 +171,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM bits
 """
 
+FIM_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+    list_transform([1, 9, 17, 25], lambda i: ('0x' || sha256('1:' || coalesce(doc_id::VARCHAR, ''))[i:i + 7])::BIGINT) AS h
+  FROM documents),
+cuts AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS p, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS q,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+         WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+parts AS (
+  SELECT *, substring(t, 1, p) AS a, substring(t, p + 1, q - p) AS m, substring(t, q + 1) AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
 ORACLES: dict[str, str] = {
     "op8_substring_dedup": WINDOWS_35,
     "op9_quality_rules": RULES_SQL,
+    "op11_fim": FIM_SQL,
 }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.llm import (
-    byte_bpe, decontaminate, fim, language_id, license_scan, quality_cnn, quality_rules, token_file, toxicity)
+    byte_bpe, decontaminate, fim, language_id, license_scan, quality_cnn, quality_rules, token_file, toxicity, warc)
 from normlens.llm.frames import map_batches, texts_of
 from normlens.llm.simhash import near_duplicates
 from normlens.llm.substring_dedup import remove_repeated
@@ -113,6 +113,13 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record type and payload of every page, read back from its content-addressed archive."""
+    folder = warc.new_folder(spark)
+    warc.write(table(spark, sf_dir, "pages", "page_id", "url", "html"), folder, least_bytes=0)
+    return warc.read(spark, folder).drop("target")
+
+
 QUERIES: dict[str, Query] = {
     "op1_toxicity": op1_toxicity,
     "op2_token_file": op2_token_file,
@@ -125,6 +132,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_cnn": op10_quality_cnn,
     "op11_fim": op11_fim,
+    "op13_warc": op13_warc,
 }
 
 WINDOWS_35 = """
@@ -190,8 +198,26 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CA
 FROM parts
 """
 
+WARC_SQL = """
+WITH raw AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+hashed AS (
+  SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h, max(page_id) OVER (PARTITION BY b) AS last FROM raw),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41),
+    lambda i: lpad(bin((instr('0123456789abcdef', h[i]) - 1)::UTINYINT), 4, '0')), '') AS b2
+  FROM hashed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+    list_sum(list_transform(range(1, 6), lambda j: b2[5 * k + j]::INT * (1 << (5 - j))))::INT + 1]), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM bits
+"""
+
 ORACLES: dict[str, str] = {
     "op8_substring_dedup": WINDOWS_35,
     "op9_quality_rules": RULES_SQL,
     "op11_fim": FIM_SQL,
+    "op13_warc": WARC_SQL,
 }

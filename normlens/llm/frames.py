@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from normlens.session import ship_package
 
-#: Rows in one Arrow batch, so that a batch of long texts stays in tens of MB.
-BATCH_ROWS = 1000
+#: Rows and bytes in one Arrow batch; a row of more bytes is a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
     """Give workers this package and bound Arrow batches. Repeated calls do nothing more."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

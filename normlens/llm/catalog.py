@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.llm import (
-    byte_bpe, decontaminate, fim, language_id, license_scan, quality_cnn, quality_rules, token_file, toxicity, warc)
+    byte_bpe, decontaminate, fim, language_id, license_scan, quality_cnn, quality_rules, source_divergence, token_file,
+    toxicity, warc)
 from normlens.llm.frames import map_batches, texts_of
 from normlens.llm.simhash import near_duplicates
 from normlens.llm.substring_dedup import remove_repeated
@@ -113,6 +114,11 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("restored", 256).alias("restored_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and the terms that set it apart."""
+    return source_divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"), least_docs=10, top=10)
+
+
 def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record type and payload of every page, read back from its content-addressed archive."""
     folder = warc.new_folder(spark)
@@ -132,6 +138,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_cnn": op10_quality_cnn,
     "op11_fim": op11_fim,
+    "op12_source_divergence": op12_source_divergence,
     "op13_warc": op13_warc,
 }
 
@@ -198,6 +205,42 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CA
 FROM parts
 """
 
+DIVERGENCE_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+words AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(
+    translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs),
+kept AS (
+  SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+langs AS (
+  SELECT lang, count(term)::HUGEINT AS v, coalesce(sum(n), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang FROM docs) LEFT JOIN kept USING (lang) GROUP BY lang),
+counts AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counts USING (lang, source) GROUP BY lang, source),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c, 0) + 2) // (g.n + 2 * l.v) AS p,
+    1 + 1000000000::HUGEINT * (k.n + 2) // (l.n + 2 * l.v) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, term)),
+priced AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN priced p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM shares WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+  FROM (FROM pairs UNION ALL FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 WARC_SQL = """
 WITH raw AS (
   SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -219,5 +262,6 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": WINDOWS_35,
     "op9_quality_rules": RULES_SQL,
     "op11_fim": FIM_SQL,
+    "op12_source_divergence": DIVERGENCE_SQL,
     "op13_warc": WARC_SQL,
 }

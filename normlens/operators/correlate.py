@@ -6,33 +6,25 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens import spec as S
+from normlens.functions.hashing import key_text, seeded_digest
 from normlens.functions.numeric import (
     direction_label, pearson, round_even, rows_from_columns, strength_label, two_sided_p)
-from normlens.operators.ranking import average_rank, value_ranks
-from normlens.operators.topk import seeded_sample
-from normlens.plans.relational import available_columns, materialize, with_row
+from normlens.operators.joint_ranks import SUMS, rank_sums
+from normlens.plans.relational import available_columns, with_row
 from normlens.spec import DEFAULT_SPEC, NormSpec
 
-# Ranks of a column with at most this many distinct values are broadcast.
-BROADCAST_RANKS = 300_000
 
-
-SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
-
-
-def _pair_sums(df: DataFrame, pairs: Sequence[tuple[str, str]],
-               centres: dict[str, float] | None = None) -> DataFrame:
+def _pair_sums(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Sums behind each pair's correlation: (pair, n, sx, sy, sxx, syy, sxy).
 
     A wide table of pair aggregates outgrows generated code, so each task adds
     up its own rows with array arithmetic and emits one record per pair; the
     merge is an ordinary grouped sum of pairs x tasks records. Columns are
-    shifted to around zero first, which keeps the sums well conditioned;
-    ``centres`` spares the extra pass when the middle is already known.
+    shifted to around zero first, which keeps the sums well conditioned.
     """
     names = list(dict.fromkeys(c for p in pairs for c in p))
     where = {c: i for i, c in enumerate(names)}
@@ -49,13 +41,8 @@ def _pair_sums(df: DataFrame, pairs: Sequence[tuple[str, str]],
                 total[k] += (len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y)
         yield pd.DataFrame({"pair": np.arange(len(index)), **{c: total[:, m] for m, c in enumerate(SUMS)}})
 
-    if centres is None:
-        middle = df.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c)
-                          for c in names])
-        shifted = with_row(df.select(*names), middle, "_c").select(
-            *[(F.col(c) - F.col(f"_c.{c}")).alias(c) for c in names])
-    else:
-        shifted = df.select(*[(F.col(c) - centres[c]).alias(c) for c in names])
+    middle = df.agg(*[F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(c) for c in names])
+    shifted = with_row(df.select(*names), middle, "_c").select(*[(F.col(c) - F.col(f"_c.{c}")).alias(c) for c in names])
     schema = "pair int, " + ", ".join(f"{c} double" for c in SUMS)
     return shifted.mapInPandas(partial, schema).groupBy("pair").agg(
         *[F.sum(c).alias(c) for c in SUMS])
@@ -94,61 +81,16 @@ def pearson_matrix(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES) -
     return _square(_pair_sums(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]]), cols)
 
 
-def _rank_columns(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str], dict[str, int]]:
-    """Wide frame of average ranks, the columns with NULLs, and non-NULL counts.
-
-    Column ``i`` gives ``rank_i`` over its own rows and ``rank_i_m<j>`` over the
-    rows where the NULL-bearing column ``j`` is present.
-    """
-    row = df.agg(F.count("*"), *[F.count(c) for c in cols],
-                 *[F.approx_count_distinct(c) for c in cols]).first()
-    counts = dict(zip(cols, row[1:len(cols) + 1]))
-    sizes = dict(zip(cols, row[len(cols) + 1:]))
-    holed = [c for c in cols if counts[c] < row[0]]
-    masks = {f"m{cols.index(c)}": F.col(c).isNotNull() for c in holed}
-    # Read once per column below, so it is written out instead of recomputed.
-    ranks = materialize(
-        value_ranks(df, {c: F.col(c).cast("double") for c in cols}, masks, sizes).select(
-            "variable", "value", average_rank().alias("rank"),
-            *[average_rank(f"_{m}").alias(f"rank_{m}") for m in masks]))
-    wide = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-    for i, c in enumerate(cols):
-        side = ranks.where(F.col("variable") == c).select(
-            F.col("value").alias(f"v{i}"), F.col("rank").alias(f"rank_{i}"),
-            *[F.col(f"rank_{m}").alias(f"rank_{i}_{m}") for m in masks])
-        if sizes[c] <= BROADCAST_RANKS:
-            side = F.broadcast(side)
-        wide = wide.join(side, f"v{i}", "left")
-    return wide, holed, counts
-
-
 def spearman_matrix(df: DataFrame, variables: Sequence[str] = S.STAT_VARIABLES) -> DataFrame:
-    """Spearman counterpart of ``pearson_matrix``.
-
-    Ranks are taken over each pair's complete rows. A column without NULLs
-    shares one ranking with every partner; a partner with NULLs adds one more.
-    Distinct values, not rows, are ranked.
-    """
+    """Spearman counterpart of ``pearson_matrix``; ranks are taken over each pair's complete rows."""
     cols = available_columns(df, list(variables))
-    wide, holed, sizes = _rank_columns(df, cols)
-    masked = {f"rank_{i}_m{cols.index(h)}": F.when(F.col(f"v{cols.index(h)}").isNotNull(),
-                                                   F.col(f"rank_{i}_m{cols.index(h)}"))
-              for i in range(len(cols)) for h in holed if cols[i] != h}
-
-    def rank_for(i: int, j: int) -> str:
-        return f"rank_{i}_m{j}" if i != j and cols[j] in holed else f"rank_{i}"
-
-    pairs = [(rank_for(i, j), rank_for(j, i)) for i in range(len(cols)) for j in range(i, len(cols))]
-    names = {c for p in pairs for c in p}
-    centres = {c: (sizes[cols[int(c.split("_")[1])]] + 1) / 2.0 for c in names}
-    return _square(_pair_sums(wide.withColumns(masked) if masked else wide, pairs, centres), cols)
+    return _square(rank_sums(df, cols), cols)
 
 
 def spearman_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, r) for a single pair over its complete rows, r unrounded."""
-    complete = df.select(a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    wide, _, _ = _rank_columns(complete, [a, b])
-    return wide.agg(F.count("*").alias("n"), pearson("rank_0", "rank_1").alias("r"))
+    complete = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return rank_sums(complete, [a, b]).where("pair = 1").select(F.col("n").cast("long").alias("n"), _r_from_sums().alias("r"))
 
 
 def lower_triangle(matrix: DataFrame) -> DataFrame:
@@ -188,11 +130,18 @@ def construct_checks(df: DataFrame, checks: Sequence[tuple[str, str, str]] = S.C
 
 def scatter_corr(df: DataFrame, pairs: Sequence[tuple[str, str]], key: list[str],
                  spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
-    """Pearson r (3 decimals) on each pair's seeded scatter sample."""
-    out = None
-    for x, y in pairs:
-        sample = seeded_sample(df.select(*key, x, y), key, spec.scatter_rows, drop_null=(x, y), spec=spec)
-        row = sample.agg(F.count("*").alias("n"), round_even(pearson(x, y), 3).alias("r")).select(
-            F.lit(x).alias("x"), F.lit(y).alias("y"), "n", "r")
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Pearson r (3 decimals) on each pair's seeded scatter sample, all pairs in one scan.
+
+    A row counts for every pair that it is complete for; a task passes on no
+    more rows of a pair than its sample has.
+    """
+    complete = F.filter(F.array(*[
+        F.when(F.col(x).isNotNull() & F.col(y).isNotNull(),
+               F.struct(F.lit(k).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
+        for k, (x, y) in enumerate(pairs)]), lambda p: p.isNotNull())
+    rows = df.select(*key, seeded_digest(spec.seed, key_text(key)).alias("_digest"), F.inline(complete))
+    first = Window.partitionBy("pair").orderBy("_digest", *key)
+    sample = rows.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= spec.scatter_rows)
+    names = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs])
+    summed = sample.groupBy("pair").agg(F.count("*").alias("n"), round_even(pearson("x", "y"), 3).alias("r"))
+    return summed.select(F.get(names, "pair").alias("p"), "n", "r").select("p.x", "p.y", "n", "r")

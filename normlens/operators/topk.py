@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens import spec as S
@@ -31,7 +31,9 @@ def top_k(df: DataFrame, score: str, key: list[str], n: int | None = None,
 def exemplars(df: DataFrame, key: list[str], spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
     """Four illustrative categories; a row may appear in several.
 
-    Each branch is a filter with a bounded top-n, so no branch sorts the table.
+    All four lists come from one scan: a task keeps the best rows of each
+    category before the shuffle, so at most categories x rows x tasks records
+    travel.
     """
     band = spec.primary_band
     score = "Ambivalence_product"
@@ -55,13 +57,14 @@ def exemplars(df: DataFrame, key: list[str], spec: NormSpec = DEFAULT_SPEC) -> D
         ((F.col("Valence") <= at["val_low"]) & (F.col("NegativeAffect") >= at["na_high"]),
          "NegativeAffect", True),
     )
-    out = None
-    for label, (rule, by, descending) in zip(S.EXEMPLAR_CATEGORIES, branches):
-        order = F.col(by).desc() if descending else F.col(by).asc()
-        part = (base.where(rule).select(*shown).orderBy(order, *key).limit(spec.exemplar_rows)
-                .withColumn("Category", F.lit(label)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    # A row is sent once for each category that it is in, with the score by which the category ranks it.
+    chosen = F.filter(F.array(*[
+        F.when(rule, F.struct(F.lit(k).alias("place"), F.lit(label).alias("Category"),
+                              (-F.col(by) if descending else F.col(by)).cast("double").alias("by")))
+        for k, (label, (rule, by, descending)) in enumerate(zip(S.EXEMPLAR_CATEGORIES, branches))]), lambda c: c.isNotNull())
+    order = Window.partitionBy("place").orderBy(F.col("by").asc_nulls_last(), *key)
+    return (base.select(*shown, F.inline(chosen)).withColumn("_rank", F.row_number().over(order))
+            .where(F.col("_rank") <= spec.exemplar_rows).select(*shown, "Category"))
 
 
 def seeded_sample(df: DataFrame, key: list[str], n: int, drop_null: tuple[str, ...] = (),

@@ -13,12 +13,13 @@ from normlens.functions.hashing import fold_of, key_text
 from normlens.functions.numeric import round_even, row_mean
 from normlens.operators import (
     audit, bands, benchmark, correlate, density, describe, folds, metrics, ngram_ridge, ngrams, ranking,
-    ridge, robustness, subgroups, targets, topk, vectors)
+    ridge, robustness, sketches, subgroups, targets, topk, vectors)
 from normlens.functions.text import char_ngrams
 from normlens.plans import views
-from normlens.plans.relational import shared_folder
+from normlens.plans.relational import materialize, shared_folder
 from normlens.plans.views import ROW_KEY
-from normlens.sources.vectors import read_vector_text, write_vector_text
+from normlens.sources.tables import compute_or_reuse
+from normlens.sources.vectors import read_vector_text, write_bucketed_vectors, write_vector_text
 from normlens.spec import DEFAULT_SPEC, PRIMARY_BAND
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,10 +96,15 @@ NORM_QUERIES: dict[str, Query] = {
     "derived_describe": on_processed(describe.describe),
     "quantiles": on_norms(lambda d: _rounded(ranking.quantile_table(
         d, ["Valence", "Arousal", "Sadness", "Imageability"], [0.05, 0.25, 0.5, 0.75, 0.95]), ["value"])),
+    "approx_quantiles": on_norms(lambda d: sketches.quantile_check(
+        d, ["Valence", "Arousal", "Sadness", "Imageability"], [0.05, 0.25, 0.5, 0.75, 0.95])),
+    "cached_describe": lambda spark, sf: _cached_describe(spark, sf),
     "band_summary": on_processed(bands.band_summary),
     "band_sensitivity": on_processed(bands.band_sensitivity),
     "histogram": on_processed(density.histogram),
+    "histogram_paired": on_processed(lambda d: density.histogram(d, S.SIDE_BY_SIDE_VARIABLES, DEFAULT_SPEC.paired_bins)),
     "kde_curve": on_processed(density.kde_curve),
+    "kde_binned": on_processed(lambda d: _rounded(density.kde_binned(d, tolerance=1e-7).drop("error_bound"), ["density"], 4)),
     "pearson_matrix": on_processed(correlate.pearson_matrix),
     "spearman_matrix": on_processed(correlate.spearman_matrix),
     "corr_lower_triangle": on_processed(lambda d: correlate.lower_triangle(correlate.pearson_matrix(d))),
@@ -111,6 +117,9 @@ NORM_QUERIES: dict[str, Query] = {
     "seeded_sample": on_processed(lambda d: topk.seeded_sample(
         d.select(*ROW_KEY, "Valence", "Ambivalence_product"), ROW_KEY, DEFAULT_SPEC.band_plot_rows,
         drop_null=("Valence", "Ambivalence_product"), band_col="Valence")),
+    "seeded_sample_first": on_processed(lambda d: topk.seeded_sample(
+        d.select(*ROW_KEY, "Valence", "Sadness"), ROW_KEY, DEFAULT_SPEC.band_plot_rows, drop_null=("Valence", "Sadness"),
+        band_col="Valence", sample_first=True)),
     "median_split": on_norms(lambda d: _rounded(
         subgroups.median_split(d, "Imageability", ROW_KEY), ["cutoff"])),
     "subgroup_coverage": on_processed(subgroups.subgroup_coverage),
@@ -197,15 +206,39 @@ def _vector_text(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.explode_vector(read_vector_text(spark, path), ["word"])
 
 
+def _lookup_random(df: DataFrame) -> DataFrame:
+    found = vectors.lookup(df.select("vec_id"), _known(df), "vec_id", vectors.dimension(df), unknown="random")
+    return _rounded(vectors.explode_vector(found.where("oov"), ["vec_id", "oov"]).withColumn(
+        "value", F.col("value").cast("double")), ["value"], 5)
+
+
+def _lookup_bucketed(spark: SparkSession, sf: str) -> DataFrame:
+    """Store the known vectors in buckets in the shared folder and look all words up."""
+    items, name = views.vectors(spark, sf), f"vectors_{uuid.uuid4().hex}"
+    stored = write_bucketed_vectors(_known(items), name, f"{shared_folder(spark)}/{name}", "vec_id",
+                                    max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    found = vectors.lookup_bucketed(items.select("vec_id"), stored, "vec_id", vectors.dimension(items))
+    return vectors.explode_vector(found, ["vec_id", "oov"])
+
+
+def _cached_describe(spark: SparkSession, sf: str) -> DataFrame:
+    """Descriptives computed once for these settings and input files, and read again from the cache."""
+    path, source = f"{shared_folder(spark)}/describe-cache-{uuid.uuid4().hex}", views.ratings(spark, sf)
+
+    def build() -> DataFrame:
+        return describe.describe(targets.add_targets(source))
+
+    def ask() -> DataFrame:
+        return compute_or_reuse(spark, path, build, {"step": "describe", "spec": DEFAULT_SPEC}, [source])
+    ask()
+    return ask()
+
+
 def _benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Words against n-grams, and vectors against their label."""
-    words = folds.assign_folds(views.modelling_lexicon(spark, sf), ["w"])
-    by_text = benchmark.benchmark(words, "w", ("en_share",), text="w")
-    items = views.vectors(spark, sf)
-    by_vector = benchmark.benchmark(
-        _regression_rows(items).withColumnRenamed("y", "label"), "vec_id", ("label",),
-        vectors={"Static vectors": ("emb", vectors.dimension(items))})
-    return by_text.unionByName(by_vector)
+    """Every target of the lexicon against the mean, n-grams and static vectors of the same words."""
+    words, dim = views.modelling_vectors(spark, sf)
+    rows = materialize(folds.assign_folds(words, ["w"]))
+    return benchmark.benchmark(rows, "w", views.LEXICON_TARGETS, text="w", vectors={"Static vectors": ("emb", dim)})
 
 
 LEXICON_QUERIES: dict[str, Query] = {
@@ -219,11 +252,14 @@ LEXICON_QUERIES: dict[str, Query] = {
     "dummy_baseline": on_modelling(lambda d: metrics.dummy_baseline(d, views.LEXICON_TARGETS)),
     "fold_metrics": on_modelling(_word_metrics),
     "cv_summary": on_modelling(lambda d: metrics.cv_summary(_word_metrics(d))),
-    "ridge_cv_ngrams": on_modelling(lambda d: ngram_ridge.ngram_cv(d, "w", "w", ("en_share",))),
+    "ridge_cv_ngrams": on_modelling(lambda d: ngram_ridge.ngram_cv(d, "w", "w", views.LEXICON_TARGETS)),
+    "cv_folds_balanced": on_lexicon(lambda d: folds.assign_balanced_folds(d.select("w"), ["w"])),
 }
 VECTOR_QUERIES: dict[str, Query] = {
     "embedding_wide": on_vectors(lambda d: vectors.widen(d, "vec_id", vectors.dimension(d))),
     "embedding_lookup": on_vectors(_lookup),
+    "embedding_lookup_random": on_vectors(_lookup_random),
+    "embedding_lookup_bucketed": _lookup_bucketed,
     "oov_rate": on_vectors(lambda d: vectors.oov_rate(d.select("vec_id"), _known(d), "vec_id")),
     "masked_mean_pool": _pooled,
     "embedding_alignment": on_vectors(_misaligned),

@@ -154,30 +154,30 @@ def _bands(inclusive: bool, primary_only: bool = False) -> str:
           AS sensitivity_conclusion FROM stats, spread"""
 
 
-def _histogram() -> str:
-    return f"""WITH {TARGETS}, long AS ({unpivot('processed', VARS)}),
+def _histogram(cols: tuple[str, ...] = VARS, bins: int = 50) -> str:
+    return f"""WITH {TARGETS}, long AS ({unpivot('processed', cols)}),
       lim AS (SELECT name, count(value) AS total, min(value) AS lo, max(value) AS hi FROM long GROUP BY name),
       grid AS (SELECT name, total, b AS bin,
-          lo + b * ((hi - lo) / 50) AS l,
-          CASE WHEN b = 49 THEN hi ELSE lo + (b + 1) * ((hi - lo) / 50) END AS u,
-          (hi - lo) / 50 AS width
-        FROM lim, range(0, 50) t(b)),
+          lo + b * ((hi - lo) / {bins}) AS l,
+          CASE WHEN b = {bins - 1} THEN hi ELSE lo + (b + 1) * ((hi - lo) / {bins}) END AS u,
+          (hi - lo) / {bins} AS width
+        FROM lim, range(0, {bins}) t(b)),
       counts AS (SELECT name, value, count(*) AS c FROM long WHERE value IS NOT NULL GROUP BY ALL),
       hit AS (SELECT g.name, g.bin, sum(c) AS n FROM grid g JOIN counts v ON v.name = g.name
-        AND v.value >= g.l AND (v.value < g.u OR (g.bin = 49 AND v.value <= g.u)) GROUP BY ALL)
+        AND v.value >= g.l AND (v.value < g.u OR (g.bin = {bins - 1} AND v.value <= g.u)) GROUP BY ALL)
       SELECT g.name AS "Variable", g.bin AS bin, {r('l', 6)} AS bin_left, {r('u', 6)} AS bin_right,
         CAST(coalesce(n, 0) AS BIGINT) AS n, {r('coalesce(n, 0)::DOUBLE / (total * width)', 6)} AS density,
         (g.name = 'Valence' AND u >= 2.75e0 AND l <= 3.25e0) AS in_band
       FROM grid g LEFT JOIN hit h ON h.name = g.name AND h.bin = g.bin"""
 
 
-def _kde() -> str:
+def _kde(digits: int = 6) -> str:
     return f"""WITH {TARGETS}, long AS ({unpivot('processed', S.SIDE_BY_SIDE_VARIABLES)}),
       lim AS (SELECT name, count(value)::DOUBLE AS total, min(value) AS lo, max(value) AS hi,
           stddev_samp(value) * pow(count(value)::DOUBLE, -0.2e0) AS h FROM long GROUP BY name),
       counts AS (SELECT name, value, count(*) AS c FROM long WHERE value IS NOT NULL GROUP BY ALL)
       SELECT name AS "Variable", point, {r('any_value(x)', 6)} AS x,
-        {r('sum(c * exp(-0.5e0 * pow((x - value) / h, 2))) / any_value(total * h * sqrt(2 * pi()))', 6)} AS density
+        {r('sum(c * exp(-0.5e0 * pow((x - value) / h, 2))) / any_value(total * h * sqrt(2 * pi()))', digits)} AS density
       FROM (SELECT l.*, p AS point, lo + p * ((hi - lo) / 299) AS x FROM lim l, range(0, 300) t(p)) g
       JOIN counts USING (name) GROUP BY name, point"""
 
@@ -375,7 +375,15 @@ NORM_ORACLES: dict[str, str] = {
     "band_summary": _bands(False, primary_only=True),
     "band_sensitivity": _bands(False),
     "histogram": _histogram(),
+    "histogram_paired": _histogram(S.SIDE_BY_SIDE_VARIABLES, 40),
     "kde_curve": _kde(),
+    "kde_binned": _kde(4),
+    "approx_quantiles": " UNION ALL ".join(
+        f"""SELECT '{c}' AS "Variable", p AS prob, count({v}) AS n, true AS within FROM lineitem,
+            (VALUES (0.05e0), (0.25e0), (0.5e0), (0.75e0), (0.95e0)) t(p) GROUP BY p"""
+        for c, v in (("Valence", "1"), ("Arousal", "1"), ("Sadness", "nullif(l_linenumber, 7)"),
+                     ("Imageability", "nullif(l_returnflag, 'R')"))),
+    "cached_describe": _describe(False),
     "pearson_matrix": _pairs(False),
     "spearman_matrix": _pairs(True),
     "corr_lower_triangle": f"SELECT * FROM ({_pairs(False)}) WHERE idx_a >= idx_b",
@@ -387,6 +395,9 @@ NORM_ORACLES: dict[str, str] = {
     "exemplars": _exemplars(),
     "seeded_sample": f"""WITH {TARGETS} SELECT {KEYS}, "Valence", "Ambivalence_product",
       "Valence" BETWEEN 2.75e0 AND 3.25e0 AS in_band FROM processed ORDER BY {DIGEST}, {KEYS} LIMIT 6000""",
+    "seeded_sample_first": f"""WITH {RATINGS}, s AS (SELECT * FROM ratings ORDER BY {DIGEST}, {KEYS} LIMIT 6000)
+      SELECT {KEYS}, "Valence", "Sadness", "Valence" BETWEEN 2.75e0 AND 3.25e0 AS in_band FROM s
+      WHERE "Valence" IS NOT NULL AND "Sadness" IS NOT NULL""",
     "median_split": f"""WITH {RATINGS}, c AS (SELECT quantile_cont("Imageability", 0.5) AS cut FROM ratings)
       SELECT {KEYS}, "Imageability", CASE WHEN "Imageability" > cut THEN 'High'
         WHEN "Imageability" <= cut THEN 'Low' END AS subgroup, {r('cut', 6)} AS cutoff FROM ratings, c""",
@@ -463,6 +474,46 @@ def _dummy() -> str:
       SELECT target, {SUMMARY} FROM scored GROUP BY target"""
 
 
+def _dense(select: str) -> str:
+    """Nested ridge on the embeddings: Gram sums by fold cell, Gauss-Jordan elimination, then ``select``.
+
+    ``coefs`` has the coefficients of every (outer, inner, alpha), inner 0 being the refit; ``scores`` the mean
+    inner r of each alpha; ``oof`` the predictions of the chosen one.
+    """
+    fits = ", ".join(f"({o}, {i})" for o in range(1, 6) for i in range(4))
+    alphas = ", ".join(f"({a}::DOUBLE)" for a in S.DEFAULT_SPEC.ridge_alphas)
+    inner = INNER_FOLD.replace("w)", "vec_id)")
+    return f"""WITH RECURSIVE items AS (SELECT vec_id, label::DOUBLE AS y, embedding::DOUBLE[] AS x,
+        {FOLD.format(key='vec_id')} AS of, {inner} AS nf FROM embeddings),
+      size AS (SELECT max(len(x)) AS d FROM items),
+      fits(o, i) AS (VALUES {fits}), alphas(a) AS (VALUES {alphas}),
+      long AS (SELECT vec_id, of, nf, unnest([1::DOUBLE] || x || [y]) AS v, unnest(range(0, len(x) + 2)) AS c FROM items),
+      cells AS (SELECT p.of, p.nf, p.c AS r, q.c, sum(p.v * q.v) AS g FROM long p JOIN long q USING (vec_id) GROUP BY ALL),
+      grams AS (SELECT o, i, r, c, sum(g) AS g FROM fits JOIN cells ON of <> o AND nf <> i GROUP BY ALL),
+      means AS (SELECT o, i, c, g / max(g) FILTER (WHERE c = 0) OVER (PARTITION BY o, i) AS m,
+                       max(g) FILTER (WHERE c = 0) OVER (PARTITION BY o, i) AS n FROM grams WHERE r = 0),
+      cov AS (SELECT o, i, g.r, g.c, g.g - a.n * a.m * b.m AS v FROM grams g
+              JOIN means a USING (o, i) JOIN means b USING (o, i) WHERE a.c = g.r AND b.c = g.c AND g.r > 0 AND g.c > 0),
+      systems AS (SELECT o, i, a, r, list(v + CASE WHEN r = c THEN a ELSE 0 END ORDER BY c) AS v
+                  FROM cov, alphas, size WHERE r <= d GROUP BY o, i, a, r),
+      elim AS (SELECT 1 AS k, o, i, a, r, v FROM systems
+        UNION ALL
+        SELECT e.k + 1, e.o, e.i, e.a, e.r, CASE WHEN e.r = e.k THEN list_transform(e.v, lambda z: z / e.v[e.k])
+            ELSE list_transform(list_zip(e.v, p.v), lambda z: z[1] - e.v[e.k] / p.v[e.k] * z[2]) END
+        FROM elim e JOIN elim p ON e.o = p.o AND e.i = p.i AND e.a = p.a AND p.r = e.k, size WHERE e.k <= d),
+      coefs AS (SELECT o, i, a, list(v[d + 1] ORDER BY r) AS w FROM elim, size WHERE k = d + 1 GROUP BY o, i, a),
+      inners AS (SELECT o, i, a, list_dot_product(x, w) AS p, y FROM coefs JOIN items ON of <> o AND nf = i),
+      rs AS (SELECT o, i, a, CASE WHEN stddev_pop(p) > 0 AND stddev_pop(y) > 0 THEN corr(p, y) ELSE 0 END AS r FROM inners GROUP BY ALL),
+      scores AS (SELECT o, a, avg(r) AS r FROM rs GROUP BY ALL),
+      best AS (SELECT o, arg_max(a, (r, -a)) AS a FROM scores GROUP BY o),
+      centre AS (SELECT o, list(m ORDER BY c) FILTER (WHERE c BETWEEN 1 AND d) AS mx, max(m) FILTER (WHERE c = d + 1) AS my
+                 FROM means, size WHERE i = 0 GROUP BY o),
+      oof AS (SELECT vec_id, of, y, my + list_dot_product(x, w) - list_dot_product(mx, w) AS p
+              FROM items JOIN best ON of = best.o JOIN coefs ON coefs.o = best.o AND coefs.a = best.a AND coefs.i = 0
+              JOIN centre ON centre.o = best.o)
+      {select}"""
+
+
 def _fold_fit() -> str:
     fits = ", ".join(f"({o}, {i})" for o in range(1, 6) for i in range(4))
     return f"""WITH {LEXICON},
@@ -478,6 +529,11 @@ def _fold_fit() -> str:
       FROM placed JOIN sizes USING (o, i) WHERE place <= 50000"""
 
 
+def _unit(salt: str) -> str:
+    """A seeded number in (0, 1) of an entry of a random vector."""
+    return f"((('0x' || substr(md5(concat('42:', '{salt}', i, ':', vec_id)), 1, 8))::BIGINT + 0.5e0) / 4294967296e0)"
+
+
 VALUES = "SELECT vec_id, label, unnest(embedding) AS value, unnest(range(0, len(embedding)))::INTEGER AS dim FROM embeddings"
 LEXICON_ORACLES: dict[str, str] = {
     "char_ngrams": f"WITH {LEXICON} SELECT w, len({GRAMS})::INTEGER AS n_grams, array_to_string({GRAMS}, '|') AS grams FROM lexicon",
@@ -492,6 +548,10 @@ LEXICON_ORACLES: dict[str, str] = {
       concat(count(w), '/', count(*), ' words') AS "Coverage",
       'lowercase; diacritics preserved; no stemming' AS "Preprocessing",
       'ngram_range=2–4, min_df=3, max_features≤50000' AS "Key_parameters" FROM lexicon""",
+    "cv_folds_balanced": f"""WITH {LEXICON}, h AS (SELECT w, ('0x' || substr(md5(concat('42:', w)), 1, 8))::BIGINT AS a,
+        ('0x' || substr(md5(concat('42-inner:', w)), 1, 8))::BIGINT AS b FROM lexicon)
+      SELECT w, ((row_number() OVER (ORDER BY a, w) - 1) % 5 + 1)::INTEGER AS outer_fold,
+        ((row_number() OVER (ORDER BY b, w) - 1) % 3 + 1)::INTEGER AS inner_fold FROM h""",
     "cv_folds": f"WITH {LEXICON} SELECT w, {WORD_FOLD} AS outer_fold, {INNER_FOLD} AS inner_fold FROM lexicon",
     "target_gate": f"WITH {LEXICON} " + " UNION ALL ".join(
         f"SELECT '{t}' AS target, count({t}) AS n_valid, count({t}) >= 100 AS usable FROM lexicon"
@@ -507,6 +567,8 @@ VECTOR_ORACLES: dict[str, str] = {
     + " FROM embeddings",
     "embedding_lookup": f"""SELECT vec_id, label = 9 AS oov, dim,
       CASE WHEN label = 9 THEN 0::FLOAT ELSE value END AS value FROM ({VALUES})""",
+    "embedding_lookup_bucketed": f"""SELECT vec_id, label = 9 AS oov, dim,
+      CASE WHEN label = 9 THEN 0::FLOAT ELSE value END AS value FROM ({VALUES})""",
     "oov_rate": """SELECT count(*) AS n_words, count(*) FILTER (WHERE label = 9) AS n_missing,
       count(*) FILTER (WHERE label = 9)::DOUBLE / count(*) AS oov_rate FROM embeddings""",
     "masked_mean_pool": f"""SELECT word_id, sum(m)::BIGINT AS n_tokens, dim,
@@ -518,6 +580,14 @@ VECTOR_ORACLES: dict[str, str] = {
       FROM embeddings""",
     "embedding_shape": """SELECT count(*) AS n, min(len(embedding))::INTEGER AS min_dim,
       max(len(embedding))::INTEGER AS max_dim FROM embeddings""",
+    "embedding_lookup_random": f"""WITH r AS (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings WHERE label = 9),
+      u AS (SELECT *, {_unit('r')} AS u, {_unit('a')} AS v FROM r)
+      SELECT vec_id, true AS oov, (i - 1)::INTEGER AS dim,
+        {r("(sqrt(ln(u) * -2e0) * cos(v * 6.283185307179586e0) * 0.01e0)::FLOAT::DOUBLE", 5)} AS value FROM u""",
+    "ridge_cv_embeddings": _dense(f"""SELECT 'y' AS target, of AS outer_fold, count(*) AS n, {_metrics('y', 'p')} FROM oof GROUP BY of"""),
+    "alpha_search": _dense(f"""SELECT 'y' AS target, o AS outer_fold, scores.a AS alpha, {r('scores.r', 6)} AS inner_r,
+        scores.a = best.a AS chosen FROM scores JOIN best USING (o)"""),
+    "oof_predictions": _dense(f"SELECT vec_id, of AS outer_fold, y, {r('p', 6)} AS prediction FROM oof"),
     "vec_text_scan": f"SELECT vec_id::VARCHAR AS word, dim, value FROM ({VALUES})",
 }
 ORACLES: dict[str, str] = {**NORM_ORACLES, **LEXICON_ORACLES, **VECTOR_ORACLES}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.functions.numeric import round_even
 from normlens.operators.targets import minmax_scale
+from normlens.operators.vectors import dimension, lookup
 from normlens.plans.relational import materialize
 from normlens.sources.tables import nan_to_null
 
@@ -38,19 +41,21 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _tokens() -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda t: t != ""))
+
+
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lowercase words with document counts and averaged document labels.
 
     Words are made distinct inside each document's own row, so the only shuffle
     is the map-side-combined count per word.
     """
-    tokens = F.array_distinct(F.filter(
-        F.split(F.lower("text"), r"[^\p{L}]+"), lambda t: t != ""))
     documents = table(spark, sf_dir, "documents").join(
         table(spark, sf_dir, "labels"), "doc_id", "left")
     return (
         documents
-        .select("lang", "quality", "toxic", F.explode(tokens).alias("w"))
+        .select("lang", "quality", "toxic", F.explode(_tokens()).alias("w"))
         .groupBy("w")
         .agg(
             F.count("*").alias("n_docs"),
@@ -85,3 +90,18 @@ def modelling_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = materialize(lexicon(spark, sf_dir))
     scaled = minmax_scale(words, ["pos", "neg"], strict=False)
     return scaled.withColumn("mixed", round_even(F.col("pos_01") * F.col("neg_01"), 6)).drop("pos_01", "neg_01")
+
+
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(w, emb): the mean embedding of the documents that hold a word; words of no such document are absent."""
+    held = table(spark, sf_dir, "documents").join(
+        vectors(spark, sf_dir).withColumnRenamed("vec_id", "doc_id").drop("label"), "doc_id")
+    tokens = held.select(array_to_vector(F.col("emb").cast("array<double>")).alias("v"), F.explode(_tokens()).alias("w"))
+    return tokens.groupBy("w").agg(vector_to_array(Summarizer.mean(F.col("v")), "float32").alias("emb"))
+
+
+def modelling_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Lexicon words with their targets and static vectors (zero if unknown), and the dimension."""
+    known = materialize(word_vectors(spark, sf_dir))
+    dim = dimension(known)
+    return lookup(modelling_lexicon(spark, sf_dir), known, "w", dim).drop("oov"), dim

@@ -65,3 +65,15 @@ def write_vector_cache(vectors: DataFrame, path: str) -> None:
 def read_vector_cache(spark: SparkSession, path: str) -> DataFrame | None:
     """The cached vectors, or None so that callers skip this feature family."""
     return spark.read.parquet(path) if table_exists(spark, path) else None
+
+
+def write_bucketed_vectors(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Store (key, emb) as the table ``name`` at ``path``, hashed by key into sorted buckets, and read it.
+
+    Look-ups then shuffle the word list alone, in as many parts as there are
+    buckets; the vectors stay where they are. Take at least as many buckets as
+    the session has shuffle partitions.
+    """
+    (df.select(key, "emb").repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+     .option("path", path).mode("overwrite").saveAsTable(name))
+    return df.sparkSession.table(name)

@@ -45,11 +45,20 @@ def test_spearman_with_hot_values_and_gaps(holed):
             assert (pd.isna(r) and pd.isna(want)) or r == pytest.approx(want, abs=1e-4), (a, b)
 
 
-def test_hot_values_are_dealt_over_buckets():
+def test_values_at_repeated_splits_have_their_own_bucket():
     buckets = joint_ranks.Buckets(np.array([[1.0, 2.0, 2.0, 2.0, 3.0]]))
-    first, last = buckets.home(0, np.array([0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 9.0]))
-    assert first.tolist() == [0, 0, 1, 2, 4, 4, 5] and last.tolist() == [0, 0, 1, 3, 4, 4, 5]
-    assert [buckets.pure(0, b) for b in range(6)] == [False, False, True, True, False, False]
+    at, own = buckets.place(0, np.array([0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 9.0]))
+    assert at.tolist() == [0, 0, 1, 2, 4, 4, 5] and own.tolist() == [False, False, False, True, False, False, False]
+
+
+@pytest.mark.parametrize("buckets,per_bucket", [(16, 1), (64, 4)])
+def test_ranks_do_not_depend_on_the_splits(holed, monkeypatch, buckets, per_bucket):
+    pdf, df = holed
+    monkeypatch.setattr(joint_ranks, "BUCKETS", buckets)
+    monkeypatch.setattr(joint_ranks, "SAMPLE_PER_BUCKET", per_bucket)
+    got = spearman_matrix(df, ["wide", "hot", "gap"]).toPandas().set_index(["var_a", "var_b"]).r
+    want = pdf[["wide", "hot", "gap"]].corr(method="spearman").round(4)
+    assert all(got[a, b] == pytest.approx(want.loc[a, b], abs=1e-4) for a in want for b in want)
 
 
 def test_spearman_has_two_shuffles_and_no_join(holed):

@@ -23,12 +23,14 @@ bounded table of chunks that it has encoded. Results do not depend on it.
 Edge cases: null and empty texts have no ids and decode to nothing; lone
 bytes of any value are tokens, so every text can be encoded and every list of
 known ids decoded; an unknown id raises. Special tokens are ordinary text.
+Repeated rows are encoded alike; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import base64
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -136,10 +138,11 @@ class ByteBPE:
             if len(token) == 2:
                 self.pair_rank[token[0] << 8 | token[1]] = rank
         self.barrier = bytes([next(b for b in UNUSED_BYTES if b not in used)])
+        self.spelled: list[bytes] = []
         self.chunks, self.words = Remembered(REMEMBERED), Remembered(REMEMBERED)
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each pre-token; all of them share one queue."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each pre-token, as 32-bit integers in bytes; all of them share one queue."""
         whole = self.barrier + self.barrier.join(pieces) + self.barrier
         n = len(whole)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -159,15 +162,15 @@ class ByteBPE:
         taken = queue.pop()
         while taken:
             rank, bucket = taken
-            # Merges of other ranks may have added places, so order them again.
-            bucket.sort()
+            if len(bucket) > 1:  # merges of other ranks may have added places, so order them again
+                bucket.sort()
             for index, at in enumerate(bucket):
                 if pair[at] != rank:
                     continue  # stale: the symbol here is gone, or it or the next one has grown
                 middle, left = after[at], before[at]
                 end = after[middle]
                 after[at], before[end] = end, at
-                token[at], pair[middle] = rank, -1
+                token[at], token[middle], pair[middle] = rank, -1, -1
                 lowest = rank
                 new = lookup(rank << ID_BITS | token[end])
                 if new is None:
@@ -194,15 +197,13 @@ class ByteBPE:
                         queue.push(rank, place)
                     break
             taken = queue.pop()
-        out, at = [], 1
-        for piece in pieces:
-            ids, end = [], at + len(piece)
-            while at < end:
-                ids.append(token[at])
-                at = after[at]
-            out.append(ids)
-            at += 1
-        return out
+        # Barriers and vanished symbols have no id.
+        left = np.array(token, dtype=np.int32)
+        alive = left >= 0
+        begin = np.cumsum([1, *(len(p) + 1 for p in pieces)])
+        upto = (4 * np.concatenate(([0], np.cumsum(alive)))[begin]).tolist()
+        ids = left[alive].tobytes()
+        return [ids[a:b] for a, b in zip(upto, upto[1:])]
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids, as 32-bit integers in bytes, of chunks."""
@@ -227,9 +228,9 @@ class ByteBPE:
         coded = [p.encode() for p in rest]
         for lo, hi in blocks(coded, QUEUE_BYTES):
             for piece, ids in zip(rest[lo:hi], self.merge(coded[lo:hi])):
-                known[piece] = np.array(ids, dtype=np.int32).tobytes()
+                known[piece] = ids
                 if len(piece) <= REMEMBERED_CHARS:
-                    self.words.put(piece, known[piece])
+                    self.words.put(piece, ids)
         return {chunk: b"".join([known[p] for p in pieces]) for chunk, pieces in cut.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -279,6 +280,13 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+    def spell(self, ids: list[int]) -> bytes:
+        """The ids in decimal, with a blank between two."""
+        if not self.spelled:
+            self.spelled = [str(i).encode() for i in range(len(self.tokens))]
+        return b" ".join(map(self.spelled.__getitem__, ids))
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks from a file with a base64 token and its rank in each line."""
     with open(path, "rb") as lines:
@@ -323,3 +331,28 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
         made = [bpe.decode(flat[a:b].tolist()) for a, b in zip(ends, ends[1:])]
         return pa.record_batch([*batch.columns, pa.array(made, pa.binary())], names=schema.names)
     return map_batches(kept, run, schema)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` but the text, and n_tokens, ids_sha256 and decoded_sha256 of its ids and of their bytes.
+
+    Ids are encoded, decoded and hashed in one pass; they leave no task.
+    """
+    ready(docs.sparkSession)
+    made = ("n_tokens", "ids_sha256", "decoded_sha256")
+    rows = docs.drop(*[c for c in made if c != text])
+    kinds = (T.LongType(), T.StringType(), T.StringType())
+    schema = T.StructType([*rows.drop(text).schema.fields, *map(T.StructField, made, kinds)])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bpe = coder(path, pattern)
+        n, spelled, decoded = [], [], []
+        for found in bpe.encode([t.decode() for t in texts_of(batch.column(text))]):
+            ids = np.frombuffer(found, dtype=np.int32).tolist()
+            n.append(len(ids))
+            spelled.append(sha256(bpe.spell(ids)).hexdigest())
+            decoded.append(sha256(bpe.decode(ids)).hexdigest())
+        kept = [batch.column(c) for c in schema.names[:-len(made)]]
+        return pa.record_batch([*kept, pa.array(n, pa.int64()), pa.array(spelled, pa.string()), pa.array(decoded, pa.string())],
+                               names=schema.names)
+    return map_batches(rows, run, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 from hashlib import sha256
 
 import public_tokenizers
@@ -18,6 +19,7 @@ from normlens.llm import (
 from normlens.llm.frames import map_batches, texts_of
 from normlens.llm.simhash import near_duplicates
 from normlens.llm.substring_dedup import remove_repeated
+from normlens.plans.relational import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,11 +55,7 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to, as digests."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(documents(spark, sf_dir), path, pattern).select("doc_id", "ids")
-    return byte_bpe.decode(encoded, path, pattern).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.round_trip(documents(spark, sf_dir), path, pattern)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +99,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         rules.fails(rules.BASE).alias("base_failed"), (~rules.fails(rules.CURRENT)).alias("kept"), "failed")
 
 
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each policy's rules by what they drop, from the stored bits of a ledger that was written once."""
+    rules, folder = quality_rules, f"{shared_folder(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    rules.ledger(documents(spark, sf_dir)).write.parquet(folder)
+    stored = spark.read.parquet(folder)
+    return reduce(DataFrame.unionByName, [rules.ablations(stored, p).select(F.lit(p).alias("policy"), "*") for p in rules.POLICIES])
+
+
 def op10_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document by a byte-level convolutional network."""
     return quality_cnn.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels", "doc_id", "quality"))
@@ -136,6 +142,7 @@ QUERIES: dict[str, Query] = {
     "op7_simhash": op7_simhash,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "ledger_ablations": ledger_ablations,
     "op10_quality_cnn": op10_quality_cnn,
     "op11_fim": op11_fim,
     "op12_source_divergence": op12_source_divergence,
@@ -186,6 +193,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM bits
 """
 
+ABLATIONS_SQL = f"""
+WITH ledger AS ({RULES_SQL}),
+policies(policy, mask) AS (VALUES {", ".join(f"('{p}', {quality_rules.mask(p)})" for p in quality_rules.POLICIES)}),
+rules(rule, bit) AS (VALUES {", ".join(f"('{r}', {b})" for r, b in quality_rules.BIT.items())})
+SELECT policy, rule, count(*) FILTER (WHERE failed & bit <> 0) AS n_failed, count(*) FILTER (WHERE failed & mask = bit) AS n_alone
+FROM policies JOIN rules ON mask & bit <> 0, ledger GROUP BY policy, rule
+"""
+
 FIM_SQL = """
 WITH drawn AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
@@ -261,6 +276,7 @@ FROM bits
 ORACLES: dict[str, str] = {
     "op8_substring_dedup": WINDOWS_35,
     "op9_quality_rules": RULES_SQL,
+    "ledger_ablations": ABLATIONS_SQL,
     "op11_fim": FIM_SQL,
     "op12_source_divergence": DIVERGENCE_SQL,
     "op13_warc": WARC_SQL,

@@ -39,10 +39,21 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
     return df.mapInArrow(run, schema)
 
 
-def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Adds the join key (_k1, _k2) of a row: its id and the hash of its text.
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened where ``docs`` has such a column already."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", names: tuple[str, str] = ("_k1", "_k2")) -> DataFrame:
+    """Adds the join key of a row, two columns of these names: its id and the hash of its text.
 
     Rows that share a key share the text, so whatever follows from the text
-    alone may be joined back by it, with null or repeated ids too.
+    alone may be joined back by it, with null or repeated ids too. Callers that
+    keep all columns of ``docs`` take names that are free.
     """
-    return docs.withColumns({"_k1": F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), "_k2": F.xxhash64(text)})
+    return docs.withColumns({names[0]: F.coalesce(F.col(doc_id).cast("long"), F.lit(0)), names[1]: F.xxhash64(text)})

@@ -8,8 +8,10 @@ bounded sample of labelled texts.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0;
 rows without a label or in the held-out fold are never learned from; without
-any labelled row every text is ``und``; repeated rows get equal results;
-other columns of the input are ignored.
+any labelled row every text is ``und``; repeated rows get equal results; of
+equal probabilities the first language in order wins; very long texts are
+learned from and scored by all of their windows; an empty table gives an empty
+table; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens.llm.byte_cnn import Adam, ByteConv, PairConv, held_out, labelled_ids, windows
@@ -28,9 +30,8 @@ from normlens.llm.frames import map_batches, ready, texts_of
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: Labelled documents that are learned from, and windows of each.
+#: Labelled documents that are learned from, with all windows of their texts.
 MAX_LABELLED = 3000
-MAX_WINDOWS = 4
 EPOCHS = 4
 UNDETERMINED = "und"
 
@@ -57,7 +58,7 @@ class LanguageModel:
 
 def fit(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int = 11) -> LanguageModel:
     languages = sorted(set(labels))
-    rows, owner = windows(texts, WINDOW, WINDOW, MAX_WINDOWS)
+    rows, owner = windows(texts, WINDOW, WINDOW)
     index = {language: i for i, language in enumerate(languages)}
     target = np.array([index[x] for x in labels], dtype=np.int64)[owner]
     conv, rng = ByteConv(WIDTHS, FILTERS, seed), np.random.default_rng(seed)
@@ -84,17 +85,23 @@ def fit(texts: list[bytes], labels: list[str], epochs: int = EPOCHS, seed: int =
 
 
 def train(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> LanguageModel | None:
-    """A model from the labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold."""
-    ids = labelled_ids(docs.where("lang is not null").select("doc_id"), max_labelled)
-    rows = (docs.where("lang is not null and text is not null").join(F.broadcast(ids.distinct()), "doc_id")
-            .where(~held_out()))
+    """A model from the labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold.
+
+    Of the rows of one id, that with the smallest text hash (then language) is
+    learned from, so the bound holds for repeated ids too.
+    """
+    known = docs.where("lang is not null and text is not null")
+    ids = labelled_ids(known.select("doc_id"), max_labelled).distinct()
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "lang")
+    rows = (known.join(F.broadcast(ids), "doc_id").where(~held_out())
+            .withColumn("place", F.row_number().over(first)).where("place = 1").select("doc_id", "text", "lang"))
 
     def sample(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found, owner = windows(texts_of(batch.column("text")), WINDOW, WINDOW, MAX_WINDOWS)
-        return pa.record_batch([pa.array([r.tobytes() for r in found], pa.binary()), batch.column("lang").take(pa.array(owner))],
+        found, owner = windows(texts_of(batch.column("text")), WINDOW, WINDOW)
+        take = pa.array(owner)
+        return pa.record_batch([pa.array([r.tobytes() for r in found], pa.binary()), batch.column("lang").take(take)],
                                names=["bytes", "lang"])
-    # Repeated ids may exceed the sample, so its bound is stated again on windows.
-    got = map_batches(rows.select("text", "lang"), sample, "bytes binary, lang string").limit(max_labelled * MAX_WINDOWS).toArrow()
+    got = map_batches(rows, sample, "bytes binary, lang string").toArrow()
     if not got.num_rows:
         return None
     pairs = sorted(zip((b.rstrip(b"\0") for b in got.column("bytes").to_pylist()), got.column("lang").to_pylist()))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from normlens.llm.components import components
-from normlens.llm.frames import keyed, map_batches, ready, texts_of
+from normlens.llm.frames import free_names, keyed, map_batches, ready, texts_of
 from normlens.plans.relational import materialize
 
 SEED = 42
@@ -233,6 +233,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, shard_rows:
 
 def keep_one(docs: DataFrame, size: int = 3, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The rows of ``docs``, all columns, that represent their group of near copies; one row for each group."""
-    chosen = near_duplicates(docs, size, radius, shard_rows).where("kept").select("_k1", "_k2").distinct()
-    return (keyed(docs).join(chosen, ["_k1", "_k2"], "left_semi")
-            .dropDuplicates(["_k1", "_k2"]).select(docs.columns))
+    names = free_names(docs, "_k1", "_k2")
+    chosen = near_duplicates(docs.select("doc_id", "text"), size, radius, shard_rows).where("kept").select("_k1", "_k2").distinct()
+    return (keyed(docs, names=names).join(chosen.toDF(*names), names, "left_semi")
+            .dropDuplicates(names).select(docs.columns))

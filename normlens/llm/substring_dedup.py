@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normlens.llm.frames import keyed, map_batches, ready, texts_of
+from normlens.llm.frames import free_names, keyed, map_batches, ready, texts_of
 from normlens.llm.words import Spans, WordTable, blocks, sliding_min
 from normlens.plans.relational import materialize
 
@@ -305,15 +305,17 @@ def remove_repeated(docs: DataFrame, width: int = 35, gram: int = GRAM, hot: int
     needs doc_id and text; columns named n_words or n_removed are replaced.
     """
     ready(docs.sparkSession)
-    rows = keyed(docs.drop("n_words", "n_removed", "_k1", "_k2", "spans"))
-    spans = repeated_spans(rows, width, gram, hot)
-    schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_k1", "_k2")]
-                          + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
+    kept = docs.drop("n_words", "n_removed")
+    k1, k2, listed_name = free_names(kept, "_k1", "_k2", "spans")
+    rows = keyed(kept, names=(k1, k2))
+    inner = rows.select(F.col(k1).alias("_k1"), F.col(k2).alias("_k2"), "text")
+    spans = repeated_spans(inner, width, gram, hot).toDF(k1, k2, listed_name)
+    schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     names = schema.names
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("text")
-        listed, texts, lost, total = batch.column("spans").to_pylist(), texts_of(column), [], []
+        listed, texts, lost, total = batch.column(listed_name).to_pylist(), texts_of(column), [], []
         nulls = column.is_null().to_pylist()
         for i, spans in enumerate(listed):
             if spans:
@@ -325,4 +327,4 @@ def remove_repeated(docs: DataFrame, width: int = 35, gram: int = GRAM, hot: int
         text = pa.array([None if null else t for null, t in zip(nulls, texts)], pa.binary()).cast(pa.string())
         made = {"text": text, "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(lost, pa.int64())}
         return pa.record_batch([made[c] if c in made else batch.column(c) for c in names], names=names)
-    return map_batches(rows.join(spans.hint("shuffle_hash"), ["_k1", "_k2"], "left"), run, schema)
+    return map_batches(rows.join(spans.hint("shuffle_hash"), [k1, k2], "left"), run, schema)

@@ -43,6 +43,8 @@ from normlens.plans.relational import shared_folder
 MAGIC = b"NLPK"
 BLOCK = 4096
 IMAGE_IDS = 1_000_000
+#: Words that go to the library as one text.
+TOGETHER = 256
 _NULL = -(1 << 63)
 _HEAD = struct.Struct("<4sIIQQ")
 
@@ -152,11 +154,22 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = sorted({str(t.content).encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words = Remembered(800_000)
+        self.words = Remembered(400_000)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words, many in one call: they are joined by blanks, and ids belong to the word in which they start."""
+        out, groups = [], [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        made = self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, e in zip(groups, made):
+            begin = np.cumsum([0, *(len(w) + 1 for w in group[:-1])])
+            starts = np.fromiter([a for a, _ in e.offsets], dtype=np.int64, count=len(e.offsets))
+            ids, cut = np.array(e.ids, dtype="<u4").tobytes(), [*(4 * np.searchsorted(starts, begin)).tolist(), 4 * len(starts)]
+            out.extend([ids[a:b] for a, b in zip(cut, cut[1:])])
+        return out
+
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """Ids of words. A comma or point after an ASCII letter at a word's end is a pre-token of its own."""
         parts = {w: (w[:-1], w[-1:]) if w[-1:] in (b",", b".") and w[-2:-1].isalpha() else (w,) for w in words}
@@ -169,7 +182,7 @@ class WordEncoder:
                     known[piece] = ids
                     if ids is None:
                         need.append(piece)
-        known.update(zip(need, self._library([p.decode() for p in need])))
+        known.update(zip(need, self._words([p.decode() for p in need])))
         out = {w: b"".join([known[p] for p in pieces]) for w, pieces in parts.items()}
         for table in ({p: known[p] for p in need}, out):
             for word, ids in table.items():

@@ -3,6 +3,13 @@
 Every stage takes the rows that its predecessor kept and returns the columns of
 ``documents``, but for the last, which adds the token ids. ``n_chars`` follows
 the text where a stage changes it.
+
+Edge cases: null and empty texts pass all stages, with no ids at the end (they
+are one group of near copies, so one of them stays); rows with a null id are
+kept, compared and joined like others; of exactly repeated rows one stays;
+columns beside those of ``documents`` are kept whatever their names, but that
+a column ``ids`` is replaced by the token ids; very long texts go through
+whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,15 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.llm import byte_bpe, decontaminate, simhash, substring_dedup, toxicity
+from normlens.llm.frames import free_names
 from normlens.plans.relational import shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def aside(docs: DataFrame, *made: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its own columns of these names renamed, and how to name them back."""
+    clash = [c for c in docs.columns if c.lower() in made]
+    held = dict(zip(clash, free_names(docs, *[f"{c}_" for c in clash])))
+    return docs.withColumnsRenamed(held), {new: old for old, new in held.items()}
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose expected severity reaches the threshold go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.grade(docs, labels).where(~F.col("is_toxic")).select(docs.columns)
+    rows, back = aside(docs, "severity", "is_toxic")
+    kept = toxicity.grade(rows, labels).where(~F.col("is_toxic")).drop("severity", "is_toxic")
+    return kept.withColumnsRenamed(back).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +50,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Word runs under repeated 35-word windows are cut from the texts; every row stays."""
-    cut = substring_dedup.remove_repeated(docs, width=35)
+    rows, back = aside(docs, "n_words", "n_removed")
+    cut = substring_dedup.remove_repeated(rows, width=35)
     if "n_chars" in docs.columns:
         length = F.length("text").cast(docs.schema["n_chars"].dataType)
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return cut.select(docs.columns)
+    return cut.drop("n_words", "n_removed").withColumnsRenamed(back).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

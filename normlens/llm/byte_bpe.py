@@ -45,9 +45,11 @@ LEAF_BITS = 8
 #: Two ids of this many bits name a pair.
 ID_BITS = 20
 #: Chunks, and pre-tokens, that a worker remembers; the oldest half is forgotten.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 #: Bytes of pre-tokens that share a queue, or one longer pre-token.
 QUEUE_BYTES = 1 << 17
+#: Bytes of texts that are encoded together, or one longer text.
+AT_ONCE = 1 << 20
 #: Longer chunks are rare and are not remembered.
 REMEMBERED_CHARS = 64
 #: Marks the first part of a text, which no space stands before; no text holds a lone surrogate.
@@ -276,6 +278,10 @@ class ByteBPE:
                 begin = i + 1
         return out
 
+    def encode_batch(self, texts: list[bytes]) -> list[bytes]:
+        """``encode`` some texts at a time, which bounds what it holds."""
+        return [ids for lo, hi in blocks(texts, AT_ONCE) for ids in self.encode([t.decode() for t in texts[lo:hi]])]
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -310,7 +316,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = coder(path, pattern)
-        found = bpe.encode([t.decode() for t in texts_of(batch.column(text))])
+        found = bpe.encode_batch(texts_of(batch.column(text)))
         ends = np.cumsum([0, *map(len, found)]) // 4
         values = pa.array(np.frombuffer(b"".join(found), dtype=np.int32))
         column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
@@ -347,7 +353,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = coder(path, pattern)
         n, spelled, decoded = [], [], []
-        for found in bpe.encode([t.decode() for t in texts_of(batch.column(text))]):
+        for found in bpe.encode_batch(texts_of(batch.column(text))):
             ids = np.frombuffer(found, dtype=np.int32).tolist()
             n.append(len(ids))
             spelled.append(sha256(bpe.spell(ids)).hexdigest())

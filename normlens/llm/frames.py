@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,6 +29,16 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return pa.array(column.cast(pa.binary())).fill_null(b"").to_pylist()
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that idle workers stay small beside the busy ones."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: str) -> DataFrame:
     """``mapInArrow`` with one output batch, or none, for each input batch."""
@@ -36,6 +48,8 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
                 out = function(batch)
                 if out is not None and out.num_rows:
                     yield out
+                del out
+        release()
     return df.mapInArrow(run, schema)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from normlens.llm.frames import free_names, keyed, map_batches, ready, texts_of
+from normlens.llm.frames import free_names, keyed, map_batches, ready, release, texts_of
 from normlens.llm.words import Spans, WordTable, blocks, sliding_min
 from normlens.plans.relational import materialize
 
@@ -217,6 +217,7 @@ def _automaton_spans(width: int):
                     size += len(w) // 8
         if words:
             yield flush(keys, words)
+        release()
     return run
 
 

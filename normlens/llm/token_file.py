@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normlens.llm.byte_bpe import REMEMBERED_CHARS, Remembered
-from normlens.llm.frames import ready, texts_of
+from normlens.llm.frames import ready, release, texts_of
 from normlens.plans.relational import shared_folder
 
 MAGIC = b"NLPK"
@@ -154,7 +154,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = sorted({str(t.content).encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words = Remembered(400_000)
+        self.words = Remembered(100_000)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -254,6 +254,8 @@ def write(docs: DataFrame, encoder: Callable[[], WordEncoder], folder: str, end_
                     names, ids, size = [], [], 0
         if names:
             yield flush()
+        del names, ids
+        release()
     key = F.xxhash64("text")
     ordered = (docs.select("doc_id", "text").repartitionByRange("doc_id", key).sortWithinPartitions("doc_id", key))
     ordered.mapInArrow(run, IMAGES).write.option("compression", "zstd").parquet(folder)

@@ -125,6 +125,13 @@ def test_ids_are_those_of_the_public_encoder(stages):
         assert r.ids == plain.encode_ordinary(r.text or "")
 
 
+def test_empty_tables(spark, folder, tmp_path):
+    root = str(tmp_path)
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder[0]}/{name}.parquet").limit(0).write.parquet(f"{root}/{name}.parquet")
+    assert corpus_pipeline.run(spark, root).count() == 0
+
+
 def test_run_gives_the_last_stage(spark, folder, stages):
     got = Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, folder[0]).collect())
     assert got == Counter((r.doc_id, tuple(r.ids)) for r in stages[5])

@@ -117,7 +117,7 @@ class RankQueue:
 class ByteBPE:
     """Encoder and decoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED):
         self.ranks = ranks
         self.pieces = regex.compile(pattern).findall
         size = max(ranks.values(), default=-1) + 1
@@ -141,7 +141,7 @@ class ByteBPE:
                 self.pair_rank[token[0] << 8 | token[1]] = rank
         self.barrier = bytes([next(b for b in UNUSED_BYTES if b not in used)])
         self.spelled: list[bytes] = []
-        self.chunks, self.words = Remembered(REMEMBERED), Remembered(REMEMBERED)
+        self.chunks, self.words = Remembered(remembered), Remembered(remembered)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each pre-token, as 32-bit integers in bytes; all of them share one queue."""
@@ -300,9 +300,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @lru_cache(maxsize=2)
-def coder(path: str, pattern: str) -> ByteBPE:
-    """One coder for each worker process and rank file."""
-    return ByteBPE(read_ranks(path), pattern)
+def coder(path: str, pattern: str, remembered: int = REMEMBERED) -> ByteBPE:
+    """One coder for each worker process, rank file and table size."""
+    return ByteBPE(read_ranks(path), pattern, remembered)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -339,10 +339,11 @@ def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     return map_batches(kept, run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """All columns of ``docs`` but the text, and n_tokens, ids_sha256 and decoded_sha256 of its ids and of their bytes.
 
-    Ids are encoded, decoded and hashed in one pass; they leave no task.
+    Ids are encoded, decoded and hashed in one pass; they leave no task. ``remembered`` trades a worker's memory
+    for time: new pre-tokens are merged once for as long as they are remembered.
     """
     ready(docs.sparkSession)
     made = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -351,7 +352,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
     schema = T.StructType([*rows.drop(text).schema.fields, *map(T.StructField, made, kinds)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = coder(path, pattern)
+        bpe = coder(path, pattern, remembered)
         n, spelled, decoded = [], [], []
         for found in bpe.encode_batch(texts_of(batch.column(text))):
             ids = np.frombuffer(found, dtype=np.int32).tolist()

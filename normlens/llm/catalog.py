@@ -55,7 +55,7 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the bytes they decode to, as digests."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return byte_bpe.round_trip(documents(spark, sf_dir), path, pattern)
+    return byte_bpe.round_trip(documents(spark, sf_dir), path, pattern, remembered=400_000)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,17 +18,20 @@ its length with the mean weight of the terms.
 2. A passage whose terms make up less than ``cosine``**2 of its squared length
    cannot reach that cosine with any item, so only the others are kept.
 3. A randomised SVD gives the latent space. The matrix A has the TF-IDF rows of
-   the items and of all passages that read like benchmark text: ``SPACE_TERMS``
-   different terms or more that make up half of the squared length. The items'
-   rows weigh without bound, so that the space holds every one of them however
-   many corpus rows there are: it is their span and the leading ``EXTRA_RANK``
-   directions of what it leaves of the corpus rows. For these, random directions
-   outside the span are multiplied by A'A, task by task, and the sums of all
-   tasks are made orthonormal, ``ROUNDS`` times. The cosine with an item is thus
-   never below that of the TF-IDF rows.
-4. In this space each kept passage is compared with the passages of every item.
-   Pairs with at least the given cosine are candidates, without any cap on their
-   number.
+   all kept passages. The space holds every item however many corpus rows there
+   are: it is the items' span and the leading ``EXTRA_RANK`` directions of what
+   that leaves of the corpus rows. For these, random directions outside the span
+   are multiplied by A'A, task by task, and the sums of all tasks are made
+   orthonormal, ``ROUNDS`` times. A last pass sums A'A within the space, which
+   weighs its singular directions by their squared values.
+4. In this space each kept passage is compared with two points for each passage
+   of an item: the passage itself, and its image by A'A, which has weight on the
+   words that the corpus uses beside those of the item. An image counts if its
+   cosine with its own item reaches the given one. A pair's cosine is that with
+   the nearest direction from the item to its image. Towards the item it is that
+   of the TF-IDF rows, as the space holds the items, so no pair has less; it is
+   higher where a paraphrase puts such words for those of the item. Pairs with
+   at least the given cosine are candidates, without any cap on their number.
 5. A candidate is a leak if the longest common subsequence of the item and the
    passage with its surroundings covers ``covered`` of the item, or
    ``paraphrase`` of it and ``answer`` of the item's answer, its last sentence
@@ -45,7 +48,7 @@ tables give empty tables; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -70,8 +73,9 @@ EXTRA_RANK = 32
 ROUNDS = 2
 BLOCK_ITEMS = 256
 #: Partitions of kept passages whose sums one task makes.
-SUM_PARTITIONS = 8
-SPACE_TERMS = 8
+SUM_PARTITIONS = 4
+#: Rows whose products are made at a time, so that these stay in the processor's cache.
+CHUNK = 128
 #: Groups of tasks whose sums are added first.
 SHARES = 16
 #: Terms whose sums travel together.
@@ -238,11 +242,10 @@ def document_frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int
 
 
 def kept_passages(docs: DataFrame, items: Items, idf: np.ndarray, cosine: float) -> DataFrame:
-    """(doc_id, _k1, _k2, start, inside, around, length, like): passages that may reach the cosine.
+    """(doc_id, _k1, _k2, start, inside, around, length): passages that may reach the cosine.
 
     inside and around are term numbers (int32 in bytes, -1 for other words) of
-    the passage and of it with the words near it; length is that of the vector;
-    like marks the rows of the matrix.
+    the passage and of it with the words near it; length is that of the vector.
     """
     rare, near = float(idf.mean()), max(map(len, items.words))
 
@@ -258,21 +261,20 @@ def kept_passages(docs: DataFrame, items: Items, idf: np.ndarray, cosine: float)
             known = np.bincount(passage, times, minlength=len(first))
             inner = np.bincount(passage, times * idf[cell] ** 2, minlength=len(first))
             length = inner + (size - known) * rare**2
-            like = (2 * inner >= length) & (np.bincount(passage, minlength=len(first)) >= items.passage * SPACE_TERMS // PASSAGE)
             for p in np.flatnonzero((inner > 0) & (inner >= cosine**2 * length)).tolist():
                 a, d = int(first[p]), int(text[p])
                 around = term[max(table.first[d], a - near):min(table.first[d + 1], a + size[p] + near)]
                 out.append((lo + d, a - int(table.first[d]), term[a:a + size[p]].tobytes(), around.tobytes(),
-                            float(np.sqrt(length[p])), bool(like[p])))
+                            float(np.sqrt(length[p]))))
         if not out:
             return None
-        row, start, inside, around, length, like = zip(*out)
+        row, start, inside, around, length = zip(*out)
         take = pa.array(row)
         return pa.record_batch([*(batch.column(c).take(take) for c in ("doc_id", "_k1", "_k2")), pa.array(start, pa.int64()),
-                                pa.array(inside, pa.binary()), pa.array(around, pa.binary()), pa.array(length, pa.float64()), pa.array(like)],
-                               names=["doc_id", "_k1", "_k2", "start", "inside", "around", "length", "like"])
+                                pa.array(inside, pa.binary()), pa.array(around, pa.binary()), pa.array(length, pa.float64())],
+                               names=["doc_id", "_k1", "_k2", "start", "inside", "around", "length"])
     return map_batches(docs.select("doc_id", "_k1", "_k2", "text"), run,
-                       "doc_id long, _k1 long, _k2 long, start long, inside binary, around binary, length double, like boolean")
+                       "doc_id long, _k1 long, _k2 long, start long, inside binary, around binary, length double")
 
 
 def _sparse(inside: list[bytes], idf: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,40 +288,76 @@ def _sparse(inside: list[bytes], idf: np.ndarray, length: np.ndarray) -> tuple[n
 
 def _times(row: np.ndarray, column: np.ndarray, value: np.ndarray, dense: np.ndarray, rows: int) -> np.ndarray:
     """A sparse matrix, ordered by row, times a dense one."""
-    out = np.zeros((rows, dense.shape[1]))
-    if len(row):
-        some, at = np.unique(row, return_index=True)
-        out[some] = np.add.reduceat(dense[column] * value[:, None], at, axis=0)
+    out = np.zeros((rows, dense.shape[1]), dtype=dense.dtype)
+    cut = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).tolist()
+    value, of = value.astype(dense.dtype), dense.take(column, axis=0)
+    for i, (a, b) in enumerate(zip(cut, cut[1:])):
+        np.dot(value[a:b], of[a:b], out=out[i])
     return out
 
 
+def _projected(inside: list[bytes], length: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, coordinates) of some rows after others."""
+    for lo in range(0, len(inside), CHUNK):
+        some = inside[lo:lo + CHUNK]
+        yield lo, _times(*_sparse(some, idf, length[lo:lo + CHUNK]), basis, len(some))
+
+
 def _gram(inside: list[bytes], length: np.ndarray, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """A'A times the directions, for the rows given."""
     out = np.zeros_like(directions)
     for lo in range(0, len(inside), 512):
         row, term, value = _sparse(inside[lo:lo + 512], idf, length[lo:lo + 512])
         seen = _times(row, term, value, directions, len(length[lo:lo + 512]))
-        order = np.argsort(term, kind="stable")
-        out += _times(term[order], row[order], value[order], seen, len(directions))
+        for k, weight in enumerate(seen.T[:, row] * value):
+            out[:, k] += np.bincount(term, weight, minlength=len(directions))
+    return out
+
+
+def _inner(inside: list[bytes], length: np.ndarray, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A within the space, for the rows given."""
+    out = np.zeros((basis.shape[1], basis.shape[1]))
+    for _, seen in _projected(inside, length, idf, basis):
+        out += seen.T @ seen
     return out
 
 
-def _partial_sums(like: DataFrame, idf: np.ndarray, basis: np.ndarray) -> DataFrame:
-    """(block, share, sums): each task's part of A'A times the directions, for the rows of ``like``.
+def _partial_sums(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, product: Callable[..., np.ndarray] = _gram) -> DataFrame:
+    """(block, share, sums): each task's part of A'A times the directions (or another product), for the rows of ``passages``.
 
     A task that runs again emits the same keys, as share follows from its partition.
     """
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, some = np.zeros_like(basis), False
+        total = None
         for batch in batches:
-            some |= batch.num_rows > 0
-            total += _gram(batch.column("inside").to_pylist(), batch.column("length").to_numpy(), idf, basis)
-        if some:
+            if batch.num_rows:
+                made = product(batch.column("inside").to_pylist(), batch.column("length").to_numpy(), idf, basis)
+                total = made if total is None else total + made
+        if total is not None:
             parts = [total[lo:lo + TERM_BLOCK].tobytes() for lo in range(0, len(total), TERM_BLOCK)]
             share = TaskContext.get().partitionId() % SHARES
             yield pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array([share] * len(parts), pa.int32()),
                                    pa.array(parts, pa.binary())], names=["block", "share", "sums"])
-    return like.mapInArrow(partial, "block int, share int, sums binary")
+    return passages.mapInArrow(partial, "block int, share int, sums binary")
+
+
+def _summed(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, rows: int, product: Callable[..., np.ndarray] = _gram) -> np.ndarray:
+    """The product over all rows of ``passages``, a matrix of so many rows."""
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, dtype=np.float64) for x in group.column("sums").to_pylist())
+        return pa.table({"block": group.column("block").slice(0, 1), "share": group.column("share").slice(0, 1),
+                         "sums": pa.array([total.tobytes()], pa.binary())})
+    schema = "block int, share int, sums binary"
+    some = passages.select("inside", "length")
+    some = some.coalesce(max(1, -(-some.rdd.getNumPartitions() // SUM_PARTITIONS)))
+    # Two levels, so that no task adds up what all others have made.
+    sums = _partial_sums(some, idf, basis, product).groupBy("block", "share").applyInArrow(add, schema)
+    sums = sums.groupBy("block").applyInArrow(add, schema)
+    total = np.zeros((rows, basis.shape[1]))
+    for r in sums.collect():  # one matrix of (terms of the block of items, or rank) x rank
+        lo = r.block * TERM_BLOCK
+        total[lo:lo + TERM_BLOCK] += np.frombuffer(r.sums, dtype=np.float64).reshape(-1, basis.shape[1])
+    return total
 
 
 def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray, extra: int = EXTRA_RANK, rounds: int = ROUNDS, seed: int = 17) -> np.ndarray:
@@ -328,29 +366,33 @@ def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray, extra: int
     rank = min(extra, len(items.terms) - span.shape[1])
     if rank <= 0:
         return span
-    like = passages.where("like").select("inside", "length")
-    like = like.coalesce(max(1, -(-like.rdd.getNumPartitions() // SUM_PARTITIONS)))
     basis = _outside(span, np.random.default_rng(seed).normal(size=(len(items.terms), rank)))
     for _ in range(rounds):
         if not basis.shape[1]:  # the items' span holds all corpus rows
             break
-
-        def add(group: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, dtype=np.float64) for x in group.column("sums").to_pylist())
-            return pa.table({"block": group.column("block").slice(0, 1), "share": group.column("share").slice(0, 1),
-                             "sums": pa.array([total.tobytes()], pa.binary())})
-        schema = "block int, share int, sums binary"
-        # Two levels, so that no task adds up what all others have made.
-        sums = _partial_sums(like, idf, basis).groupBy("block", "share").applyInArrow(add, schema)
-        sums = sums.groupBy("block").applyInArrow(add, schema)
-        total = np.zeros_like(basis)
-        for r in sums.collect():  # one matrix of (terms of the block of items) x rank
-            lo = r.block * TERM_BLOCK
-            total[lo:lo + TERM_BLOCK] += np.frombuffer(r.sums, dtype=np.float64).reshape(-1, basis.shape[1])
-        basis = _outside(span, total)
+        basis = _outside(span, _summed(passages, idf, basis, len(basis)))
     return np.concatenate((span, basis), axis=1)
 
 
+def corpus_product(passages: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'A of the passages within the space, in coordinates of the basis."""
+    return _summed(passages, idf, basis.astype(np.float32), basis.shape[1], _inner)
+
+
+def images(items: np.ndarray, product: np.ndarray, cosine: float = COSINE) -> np.ndarray:
+    """Unit images of unit rows by A'A; zero where an image is farther from its row than the cosine."""
+    out = items @ product
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return np.where((items * out).sum(axis=1, keepdims=True) >= cosine, out, 0)
+
+
+def nearest_cosine(item: np.ndarray, image: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Greatest cosine with a direction from the item to its image, from those with both and that between them."""
+    between = (item > image * apart) & (image > item * apart) & (apart < 0.999)  # nearer, they are as good as one
+    plane = np.sqrt(np.maximum(item**2 + image**2 - 2 * item * image * apart, 0) / np.maximum(1 - apart**2, 1e-6))
+    return np.where(between, np.minimum(plane, 1), np.maximum(item, image))
+
+
 def _dense(rows: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     """(terms, rows) of the normalised TF-IDF rows."""
     row, term, value = _sparse([w.tobytes() for w in rows], idf, _lengths(rows, idf))
@@ -437,17 +479,26 @@ def _leaks_of(rows: DataFrame, items: Items, cosine: float, covered: float, para
     basis = latent_basis(kept, items, idf)
     queries, owner = items.passages()
     latent = _times(*_sparse([w.tobytes() for w in queries], idf, _lengths(queries, idf)), basis, len(queries))
-    latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    basis, latent = basis.astype(np.float32), latent.astype(np.float32)
-    first = np.searchsorted(owner, np.arange(len(items.ids)))
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    image = images(latent, corpus_product(kept, idf, basis), cosine)
+    apart = (latent * image).sum(axis=1).astype(np.float32)
+    basis, latent, image = basis.astype(np.float32), latent.T.astype(np.float32), image.T.astype(np.float32)
+    # A direction between two is no nearer than the better of them by more than half their angle.
+    least = (cosine * np.sqrt((1 + apart) / 2) * (1 - 1e-6)).astype(np.float32)
     item_words, item_ids, begins = items.words, items.ids, items.answer
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out, inside = [], batch.column("inside").to_pylist()
         around, length = batch.column("around").to_pylist(), batch.column("length").to_numpy()
-        near = _times(*_sparse(inside, idf, length), basis, len(inside)).astype(np.float32) @ latent.T
-        near = np.maximum.reduceat(near, first, axis=1)  # the best passage of each item
-        for p, i in zip(*(x.tolist() for x in np.nonzero(near >= cosine))):
+        near: dict[tuple[int, int], float] = {}  # the best passage of each item
+        for lo, seen in _projected(inside, length, idf, basis):
+            own, other = seen @ latent, seen @ image
+            some = np.nonzero(np.maximum(own, other) >= least)
+            best = nearest_cosine(own[some], other[some], apart[some[1]])
+            for p, i, x in zip((some[0] + lo).tolist(), owner[some[1]].tolist(), best.tolist()):
+                if x >= cosine and x > near.get((p, i), 0):
+                    near[p, i] = x
+        for (p, i), x in near.items():
             words = [w for w in np.frombuffer(around[p], dtype=np.int32).tolist() if w >= 0]
             item, begin = item_words[i], begins[i]
             whole = covered_words(item, words) / len(item)
@@ -455,7 +506,7 @@ def _leaks_of(rows: DataFrame, items: Items, cosine: float, covered: float, para
                 continue
             end = covered_words(item[begin:], words) / max(1, len(item) - begin)
             if whole >= covered or end >= answer:
-                out.append((p, item_ids[i], float(near[p, i]), whole, end))
+                out.append((p, item_ids[i], x, whole, end))
         if not out:
             return None
         row, item, near, whole, end = zip(*out)

@@ -161,3 +161,51 @@ def test_a_task_that_runs_again_emits_the_same_keys(spark):
     sums = d._partial_sums(like, np.ones(6), np.eye(6, 2))
     keys = [sorted((r.block, r.share) for r in sums.select("block", "share").collect()) for _ in range(2)]
     assert keys[0] == keys[1] == [(0, p) for p in range(8)]
+
+
+def topics():
+    """Items, rows and leaks: paraphrases that put, for ten words of an item, those that the corpus uses in their place."""
+    rng = random.Random(8)
+    names = iter(dict.fromkeys("".join(rng.choices("bcdfghklmnprst", k=6)) for _ in range(4000)))
+    pairs = [[(next(names), next(names)) for _ in range(10)] for _ in range(12)]
+    frame, others = [next(names) for _ in range(60)], list(names)
+
+    def told(topic, way):
+        """An item's words: ten of the topic, either word of each pair, among fifteen that stand anywhere."""
+        rest = rng.sample(frame, 15)
+        return [w for p, k, x in zip(pairs[topic], way, rest) for w in (x, p[k])] + rest[10:]
+    items, rows, leaks = [], [], set()
+    for topic in range(12):
+        for way in ([0, 1] * 5, [1, 0] * 5):
+            items.append((len(items), " ".join(told(topic, way))))
+    swap = {a: b for ps in pairs for p in ps for a, b in (p, p[::-1])}
+    for i in range(900):
+        words = [rng.choice(p) for p in rng.choice(pairs) ] + rng.choices(frame, k=22)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    for i, text in items:
+        own = [swap.get(w, w) for w in text.split()]
+        rows.append((1000 + i, " ".join(own + rng.sample(others, 60))))
+        leaks.add((1000 + i, i))
+    return items, rows, leaks
+
+
+def test_images_of_items_find_paraphrases(spark, monkeypatch):
+    items, rows, leaks = topics()
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.find_leaks(docs, bench, covered=0.6).collect()}
+    monkeypatch.setattr(d, "corpus_product", lambda passages, idf, basis: np.zeros((basis.shape[1], basis.shape[1])))
+    plain = {(r.doc_id, r.item_id) for r in d.find_leaks(docs, bench, covered=0.6).collect()}
+    assert got <= leaks and len(got) >= 0.9 * len(leaks)
+    assert not plain  # no shared word but common ones
+
+
+def test_nearest_cosine_against_a_grid():
+    rng = np.random.default_rng(9)
+    for _ in range(50):
+        x, q, u = (v / np.linalg.norm(v) for v in rng.normal(size=(3, 4)))
+        u = u if q @ u > 0 else -u
+        way = np.linspace(0, 1, 5001)[:, None]
+        grid = (1 - way) * q + way * u
+        want = (grid @ x / np.linalg.norm(grid, axis=1)).max()
+        assert abs(d.nearest_cosine(*(np.array([v]) for v in (x @ q, x @ u, q @ u)))[0] - want) < 1e-5

@@ -26,6 +26,7 @@ rows are separate documents; an empty table gives a table without images.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normlens.llm.byte_bpe import REMEMBERED_CHARS, Remembered
+from normlens.llm.byte_bpe import REMEMBERED_CHARS
 from normlens.llm.frames import ready, release, texts_of
 from normlens.plans.relational import shared_folder
 
@@ -45,7 +46,11 @@ BLOCK = 4096
 IMAGE_IDS = 1_000_000
 #: Words that go to the library as one text.
 TOGETHER = 256
+#: Words that a worker remembers; the newer half is full when a batch has filled it.
+REMEMBERED = 800_000
 _NULL = -(1 << 63)
+#: a-z and the small letters of Latin-1, in UTF-8: no case to change, nothing to compose, no other pre-tokens.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
 _HEAD = struct.Struct("<4sIIQQ")
 
 
@@ -150,11 +155,19 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
         self.special = sorted({str(t.content).encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.words = Remembered(800_000)
+        self.remembered, self.new, self.old = REMEMBERED // 2, {}, {}
+        # The same merges for words of plain letters, which the normaliser and the pattern leave whole.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix, entries = getattr(self.plain.model, "end_of_word_suffix", None), self.plain.get_vocab()
+        self.ends = np.zeros(max(entries.values()) + 1, dtype=bool)
+        self.ends[[v for k, v in entries.items() if suffix and k.endswith(suffix)]] = True
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -170,49 +183,55 @@ class WordEncoder:
             out.extend([ids[a:b] for a, b in zip(cut, cut[1:])])
         return out
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words. A comma or point after an ASCII letter at a word's end is a pre-token of its own."""
-        parts = {w: (w[:-1], w[-1:]) if w[-1:] in (b",", b".") and w[-2:-1].isalpha() else (w,) for w in words}
-        known: dict[bytes, bytes] = {}
-        need = []
-        for pieces in parts.values():
-            for piece in pieces:
-                if piece not in known:
-                    ids = self.words.new.get(piece) or self.words.get(piece)
-                    known[piece] = ids
-                    if ids is None:
-                        need.append(piece)
-        known.update(zip(need, self._words([p.decode() for p in need])))
-        out = {w: b"".join([known[p] for p in pieces]) for w, pieces in parts.items()}
-        for table in ({p: known[p] for p in need}, out):
-            for word, ids in table.items():
-                if len(word) <= REMEMBERED_CHARS:
-                    self.words.put(word, ids)
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters: each ends with the only token that ends a word."""
+        out, groups = [], [words[i:i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.plain.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            cut, flat = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+            out.extend([flat[a:b] for a, b in zip([0, *cut], cut)] if len(cut) == len(group) else self._words(group))
         return out
 
+    def _take(self, words: set[bytes]) -> list[bytes]:
+        """Words that are in no table; those of the old one come into the new one."""
+        words -= self.new.keys()
+        again = words & self.old.keys()
+        self.new.update((w, self.old[w]) for w in again)
+        return list(words - again)
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Put words into the new table. A comma or point after an ASCII letter at a word's end is a pre-token of its own."""
+        unknown = self._take(words)
+        tailed = [w for w in unknown if w.endswith((b",", b".")) and w[-2:-1].isalpha()]
+        need = self._take(set(unknown).difference(tailed).union([w[:-1] for w in tailed], {w[-1:] for w in tailed}))
+        plain = [w for w in need if _LETTERS(w)]
+        self.new.update(zip(plain, self._letters([w.decode() for w in plain])))
+        other = [w for w in need if w not in self.new]
+        self.new.update(zip(other, self._words([w.decode() for w in other])))
+        self.new.update([(w, self.new[w[:-1]] + self.new[w[-1:]]) for w in tailed])
+
+    def _forget(self) -> None:
+        """Long words always go, others if they were not asked for lately."""
+        for word in self.long:
+            self.new.pop(word, None)
+        if len(self.new) >= self.remembered:
+            self.old, self.new = self.new, {}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as 32-bit integers in bytes."""
-        found, whole, missing = [], [], {}
+        found, whole, words = [], [], set()
         for text in texts:
             if any(s in text for s in self.special):
                 whole.append(len(found))
-                found.append(([], [], []))
-                continue
-            words = text.lower().split()
-            ids = list(map(self.words.new.get, words))
-            holes = [i for i, x in enumerate(ids) if x is None] if None in ids else []
-            for i in holes:
-                ids[i] = self.words.get(words[i])
-            holes = [i for i in holes if ids[i] is None]
-            for i in holes:
-                missing[words[i]] = None
-            found.append((words, ids, holes))
-        if missing:
-            learned = self._learn(list(missing))
-            for words, ids, holes in found:
-                for i in holes:
-                    ids[i] = learned[words[i]]
-        out = [b"".join(ids) for _, ids, _ in found]
+                found.append([])
+            else:
+                found.append(text.lower().split())
+                words.update(found[-1])
+        self.long = [x for w in words if len(w) > REMEMBERED_CHARS for x in (w, w[:-1])]
+        self._learn(words)
+        get = self.new.__getitem__
+        out = [b"".join(map(get, words)) for words in found]
+        self._forget()
         for i, ids in zip(whole, self._library([texts[i].decode() for i in whole])):
             out[i] = ids
         return out

@@ -31,6 +31,7 @@ import struct
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ from normlens.plans.relational import shared_folder
 MAGIC = b"NLPK"
 BLOCK = 4096
 IMAGE_IDS = 1_000_000
+#: Ids that are packed at a time, so that these stay in the processor's cache.
+PACKED = 1 << 16
 #: Words that go to the library as one text.
 TOGETHER = 256
 #: Words that a worker remembers; the newer half is full when a batch has filled it.
@@ -98,8 +101,9 @@ def image(doc_ids: list[int | None], ids: list[bytes], bits: int, block: int = B
     if len(flat) and int(flat.max()) >> bits:
         raise ValueError(f"id {int(flat.max())} needs more than {bits} bits")
     first = np.cumsum([0, *map(len, ids)], dtype=np.uint64) // 4
-    packed = [pack(flat[lo:lo + block], bits) for lo in range(0, len(flat), block)]
-    blocks = np.cumsum([0, *map(len, packed)], dtype=np.uint64)
+    some = block * max(1, PACKED // block)  # full blocks leave no gap, so several are packed at a time
+    packed = [pack(flat[lo:lo + some], bits) for lo in range(0, len(flat), some)]
+    blocks = np.append(np.arange(0, len(flat), block) // 8 * bits, sum(map(len, packed)))
     names = np.array([_NULL if d is None else d for d in doc_ids], dtype="<i8")
     return b"".join((_HEAD.pack(MAGIC, bits, block, len(ids), len(flat)), names.tobytes(), first.astype("<u8").tobytes(),
                      blocks.astype("<u8").tobytes(), *(p.tobytes() for p in packed)))
@@ -194,10 +198,10 @@ class WordEncoder:
 
     def _take(self, words: set[bytes]) -> list[bytes]:
         """Words that are in no table; those of the old one come into the new one."""
-        words -= self.new.keys()
-        again = words & self.old.keys()
-        self.new.update((w, self.old[w]) for w in again)
-        return list(words - again)
+        unknown = list(filterfalse(self.new.__contains__, words))
+        again = list(filter(self.old.__contains__, unknown))
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        return list(filterfalse(self.old.__contains__, unknown)) if again else unknown
 
     def _learn(self, words: set[bytes]) -> None:
         """Put words into the new table. A comma or point after an ASCII letter at a word's end is a pre-token of its own."""

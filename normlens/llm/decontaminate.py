@@ -18,15 +18,15 @@ its length with the mean weight of the terms.
 2. A passage whose terms make up less than ``cosine``**2 of its squared length
    cannot reach that cosine with any item, so only the others are kept.
 3. A randomised SVD gives the latent space. The matrix A has the TF-IDF rows of
-   all kept passages. The space holds every item however many corpus rows there
-   are: it is the items' span and the leading ``EXTRA_RANK`` directions of what
-   that leaves of the corpus rows. For these, random directions outside the span
-   are multiplied by A'A, task by task, and the sums of all tasks are made
-   orthonormal, ``ROUNDS`` times. A last pass sums A'A within the space, which
-   weighs its singular directions by their squared values.
+   all kept passages. Random directions are multiplied by A'A, task by task, and
+   the sums of all tasks are made orthonormal, ``ROUNDS`` times, which gives the
+   leading ``RANK`` singular directions. A last pass sums A'A within these,
+   which weighs them by their squared values. What the items have outside them
+   is appended, so the space holds every item however many corpus rows there are.
 4. In this space each kept passage is compared with two points for each passage
-   of an item: the passage itself, and its image by A'A, which has weight on the
-   words that the corpus uses beside those of the item. An image counts if its
+   of an item: the passage itself, and its image by A'A within the singular
+   directions alone, which has weight on the words that the corpus uses beside
+   those of the item, whatever other items have them. An image counts if its
    cosine with its own item reaches the given one. A pair's cosine is that with
    the nearest direction from the item to its image. Towards the item it is that
    of the TF-IDF rows, as the space holds the items, so no pair has less; it is
@@ -69,13 +69,15 @@ RARE_ITEMS = 50
 COVERED = 0.75
 PARAPHRASE = 0.55
 ANSWER = 0.8
-EXTRA_RANK = 32
+RANK = 128
 ROUNDS = 2
 BLOCK_ITEMS = 256
 #: Partitions of kept passages whose sums one task makes.
 SUM_PARTITIONS = 4
 #: Rows whose products are made at a time, so that these stay in the processor's cache.
 CHUNK = 128
+#: Rows whose parts of A'A are added at a time.
+GRAM_CHUNK = 2048
 #: Groups of tasks whose sums are added first.
 SHARES = 16
 #: Terms whose sums travel together.
@@ -305,12 +307,12 @@ def _projected(inside: list[bytes], length: np.ndarray, idf: np.ndarray, basis:
 
 def _gram(inside: list[bytes], length: np.ndarray, idf: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """A'A times the directions, for the rows given."""
-    out = np.zeros_like(directions)
-    for lo in range(0, len(inside), 512):
-        row, term, value = _sparse(inside[lo:lo + 512], idf, length[lo:lo + 512])
-        seen = _times(row, term, value, directions, len(length[lo:lo + 512]))
-        for k, weight in enumerate(seen.T[:, row] * value):
-            out[:, k] += np.bincount(term, weight, minlength=len(directions))
+    out = np.zeros(directions.shape)
+    for lo in range(0, len(inside), GRAM_CHUNK):
+        row, term, value = _sparse(inside[lo:lo + GRAM_CHUNK], idf, length[lo:lo + GRAM_CHUNK])
+        seen = _times(row, term, value, directions, len(length[lo:lo + GRAM_CHUNK]))
+        order = np.argsort(term, kind="stable")
+        out += _times(term[order], row[order], value[order], seen, len(directions))
     return out
 
 
@@ -360,27 +362,28 @@ def _summed(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, rows: int,
     return total
 
 
-def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray, extra: int = EXTRA_RANK, rounds: int = ROUNDS, seed: int = 17) -> np.ndarray:
-    """Orthonormal (terms, rank) basis: the items' span, then the leading right singular vectors of the passages outside it."""
-    span = _span(_dense(items.passages()[0], idf))
-    rank = min(extra, len(items.terms) - span.shape[1])
-    if rank <= 0:
-        return span
-    basis = _outside(span, np.random.default_rng(seed).normal(size=(len(items.terms), rank)))
+def singular_directions(passages: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = 17) -> np.ndarray:
+    """Orthonormal (terms, at most rank): the leading right singular vectors of the passages, by randomised subspace iteration."""
+    basis = _span(np.random.default_rng(seed).normal(size=(len(idf), min(rank, len(idf)))))
     for _ in range(rounds):
-        if not basis.shape[1]:  # the items' span holds all corpus rows
-            break
-        basis = _outside(span, _summed(passages, idf, basis, len(basis)))
-    return np.concatenate((span, basis), axis=1)
+        if basis.shape[1]:  # none are left if no passage is kept
+            basis = _span(_summed(passages, idf, basis.astype(np.float32), len(idf)))
+    return basis
+
+
+def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = 17) -> np.ndarray:
+    """Orthonormal (terms, width) basis: the singular directions of the passages, then what these leave of the items."""
+    leading = singular_directions(passages, idf, rank, rounds, seed)
+    return np.concatenate((leading, _outside(leading, _dense(items.passages()[0], idf))), axis=1)
 
 
 def corpus_product(passages: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'A of the passages within the space, in coordinates of the basis."""
+    """A'A of the passages within the basis, in its coordinates."""
     return _summed(passages, idf, basis.astype(np.float32), basis.shape[1], _inner)
 
 
 def images(items: np.ndarray, product: np.ndarray, cosine: float = COSINE) -> np.ndarray:
-    """Unit images of unit rows by A'A; zero where an image is farther from its row than the cosine."""
+    """Unit images by A'A of what the singular directions have of unit rows; zero where an image is farther from its row than the cosine."""
     out = items @ product
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
     return np.where((items * out).sum(axis=1, keepdims=True) >= cosine, out, 0)
@@ -480,9 +483,11 @@ def _leaks_of(rows: DataFrame, items: Items, cosine: float, covered: float, para
     queries, owner = items.passages()
     latent = _times(*_sparse([w.tobytes() for w in queries], idf, _lengths(queries, idf)), basis, len(queries))
     latent /= np.linalg.norm(latent, axis=1, keepdims=True)
-    image = images(latent, corpus_product(kept, idf, basis), cosine)
-    apart = (latent * image).sum(axis=1).astype(np.float32)
-    basis, latent, image = basis.astype(np.float32), latent.T.astype(np.float32), image.T.astype(np.float32)
+    rank = min(RANK, basis.shape[1])  # the singular directions come first; others have no passages if these are fewer
+    image = images(latent[:, :rank], corpus_product(kept, idf, basis[:, :rank]), cosine)
+    apart = (latent[:, :rank] * image).sum(axis=1).astype(np.float32)
+    # The items as the space holds them, beside the singular directions: one product gives both.
+    points, image = np.concatenate((basis[:, :rank], basis @ latent.T), axis=1).astype(np.float32), image.T.astype(np.float32)
     # A direction between two is no nearer than the better of them by more than half their angle.
     least = (cosine * np.sqrt((1 + apart) / 2) * (1 - 1e-6)).astype(np.float32)
     item_words, item_ids, begins = items.words, items.ids, items.answer
@@ -491,8 +496,8 @@ def _leaks_of(rows: DataFrame, items: Items, cosine: float, covered: float, para
         out, inside = [], batch.column("inside").to_pylist()
         around, length = batch.column("around").to_pylist(), batch.column("length").to_numpy()
         near: dict[tuple[int, int], float] = {}  # the best passage of each item
-        for lo, seen in _projected(inside, length, idf, basis):
-            own, other = seen @ latent, seen @ image
+        for lo, seen in _projected(inside, length, idf, points):
+            own, other = seen[:, rank:], seen[:, :rank] @ image
             some = np.nonzero(np.maximum(own, other) >= least)
             best = nearest_cosine(own[some], other[some], apart[some[1]])
             for p, i, x in zip((some[0] + lo).tolist(), owner[some[1]].tolist(), best.tolist()):

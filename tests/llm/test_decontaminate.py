@@ -213,3 +213,54 @@ def test_nearest_cosine_against_a_grid():
         grid = (1 - way) * q + way * u
         want = (grid @ x / np.linalg.norm(grid, axis=1)).max()
         assert abs(d.nearest_cosine(*(np.array([v]) for v in (x @ q, x @ u, q @ u)))[0] - want) < 1e-5
+
+
+def scattered(topics=40):
+    """As topics(), but the words put for an item's stand in other items that have one of each of ten topics."""
+    rng = random.Random(8)
+    names = iter(dict.fromkeys("".join(rng.choices("bcdfghklmnprst", k=6)) for _ in range(20 * topics + 4000)))
+    pairs = [[(next(names), next(names)) for _ in range(10)] for _ in range(topics)]
+    frame, others = [next(names) for _ in range(60)], list(names)
+
+    def told(words):
+        rest = rng.sample(frame, 15)
+        return [w for both in zip(rest, words) for w in both] + rest[10:]
+
+    def text(words):
+        return f"{' '.join(words[:20])}. {' '.join(words[20:])}."
+    own = [told([a for a, _ in p]) for p in pairs]
+    loose = [b for p in pairs for _, b in p]
+    items = list(enumerate(map(text, own + [told(rng.sample(loose[i::topics], 10)) for i in range(topics)])))
+    rows = []
+    for i in range(60 * topics):
+        words = [rng.choice(p) for p in rng.choice(pairs)] + rng.choices(frame, k=22)
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    for i, words in enumerate(own):
+        swap = dict(pairs[i])
+        rows.append((10000 + i, " ".join([text([swap.get(w, w) for w in words]), *rng.sample(others, 60)])))
+    return items, rows, {(10000 + i, i) for i in range(topics)}
+
+
+def test_singular_directions_decide_what_is_found(spark, monkeypatch):
+    items, rows, leaks = scattered()
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.find_leaks(docs, bench).collect()}
+    assert got <= leaks and len(got) >= 0.9 * len(leaks)
+    # The items' span alone, as if nothing had been learned from the corpus.
+    monkeypatch.setattr(d, "latent_basis", lambda passages, items, idf: d._span(d._dense(items.passages()[0], idf)))
+    assert not d.find_leaks(docs, bench).count()
+
+
+def test_leading_directions_are_those_of_an_exact_svd(spark):
+    rng = np.random.default_rng(10)
+    terms, topics = 60, 6
+    rows = [rng.choice(10, d.PASSAGE).astype(np.int32) + 10 * (i % topics) for i in range(600)]  # topics of ten terms
+    idf = rng.uniform(1, 9, terms)
+    kept = spark.createDataFrame([(w.tobytes(), float(n)) for w, n in zip(rows, d._lengths(rows, idf))], "inside binary, length double")
+    kept = kept.repartition(4)
+    exact = np.linalg.svd(d._dense(rows, idf).T, full_matrices=False)[2][:topics].T
+    got = d.singular_directions(kept, idf, rank=2 * topics)
+    assert np.linalg.norm(got.T @ exact, axis=0).min() > 0.999
+    whole = d._dense(rows, idf)
+    assert np.allclose(d.corpus_product(kept, idf, got), got.T @ whole @ whole.T @ got, rtol=1e-4, atol=1e-3)

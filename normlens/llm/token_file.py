@@ -31,7 +31,6 @@ import struct
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +39,7 @@ from pyspark.sql import functions as F
 
 from normlens.llm.byte_bpe import REMEMBERED_CHARS
 from normlens.llm.frames import ready, release, texts_of
+from normlens.llm.words import SPACES, byte_set
 from normlens.plans.relational import shared_folder
 
 MAGIC = b"NLPK"
@@ -53,7 +53,12 @@ TOGETHER = 256
 REMEMBERED = 800_000
 _NULL = -(1 << 63)
 #: a-z and the small letters of Latin-1, in UTF-8: no case to change, nothing to compose, no other pre-tokens.
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+").fullmatch
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+_SPACE, _SMALL = byte_set(SPACES), byte_set(bytes(range(97, 123)))
+_SMALL_LATIN = byte_set(bytes([*range(0x9F, 0xB7), *range(0xB8, 0xC0)]))
+_APOSTROPHE = ord("'")
+#: ASCII marks but the apostrophe, which may begin a contraction.
+_MARK = byte_set(bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != _APOSTROPHE))
 _HEAD = struct.Struct("<4sIIQQ")
 
 
@@ -148,11 +153,39 @@ def open_image(path: str) -> Image:
     return Image(np.memmap(path, dtype=np.uint8, mode="r"))
 
 
+def pieces(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """(number of each piece, distinct pieces, first piece of each text) of the texts in small letters.
+
+    A piece is a word, cut before a mark (any of ASCII, apostrophe too) that
+    follows a letter, and before a letter that follows a mark other than an
+    apostrophe. Letters are those of ``_LETTERS``. No pre-token crosses such a
+    place, and nothing composes over it.
+    """
+    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", dtype=np.uint8)
+    inside = ~_SPACE[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    latin = np.flatnonzero(data == 0xC3)  # the last byte is a line end, so all places have a next one
+    latin = latin[_SMALL_LATIN[data[latin + 1]]]
+    mark, starts, ends = _MARK[data], _SMALL[data], _SMALL[data]
+    starts[latin] = ends[latin + 1] = True  # the first and last bytes of letters
+    begin[1:] |= mark[:-1] & starts[1:]
+    mark |= data == _APOSTROPHE
+    begin[1:] |= ends[:-1] & mark[1:]
+    place = np.flatnonzero(begin)
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+    first = np.searchsorted(place, np.concatenate(([0], np.cumsum(size))))
+    letters = data[inside]
+    offsets = np.append(np.flatnonzero(begin[inside]), len(letters)).astype(np.int32)
+    made = pa.Array.from_buffers(pa.binary(), len(place), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    return made.indices.to_numpy(), made.dictionary.to_pylist(), first
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose pre-tokens never cross white space.
 
-    The library encodes each distinct word once; a worker remembers a bounded
-    number of them. A-Z may be lower-cased first, as the tokenizer's
+    The library encodes each distinct piece of a word once; a worker remembers
+    a bounded number of them. A-Z may be lower-cased first, as the tokenizer's
     normaliser does it too. Texts that may hold a special token's string go to
     the library whole.
     """
@@ -196,48 +229,47 @@ class WordEncoder:
             out.extend([flat[a:b] for a, b in zip([0, *cut], cut)] if len(cut) == len(group) else self._words(group))
         return out
 
-    def _take(self, words: set[bytes]) -> list[bytes]:
-        """Words that are in no table; those of the old one come into the new one."""
-        unknown = list(filterfalse(self.new.__contains__, words))
-        again = list(filter(self.old.__contains__, unknown))
-        self.new.update(zip(again, map(self.old.__getitem__, again)))
-        return list(filterfalse(self.old.__contains__, unknown)) if again else unknown
-
-    def _learn(self, words: set[bytes]) -> None:
-        """Put words into the new table. A comma or point after an ASCII letter at a word's end is a pre-token of its own."""
-        unknown = self._take(words)
-        tailed = [w for w in unknown if w.endswith((b",", b".")) and w[-2:-1].isalpha()]
-        need = self._take(set(unknown).difference(tailed).union([w[:-1] for w in tailed], {w[-1:] for w in tailed}))
+    def _made(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. All but long ones are remembered; of those, the ones not asked for lately go."""
+        found = list(map(self.new.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        unknown = [words[i] for i in missing]
+        again = list(map(self.old.get, unknown))
+        need = [w for w, ids in zip(unknown, again) if ids is None]
         plain = [w for w in need if _LETTERS(w)]
-        self.new.update(zip(plain, self._letters([w.decode() for w in plain])))
-        other = [w for w in need if w not in self.new]
-        self.new.update(zip(other, self._words([w.decode() for w in other])))
-        self.new.update([(w, self.new[w[:-1]] + self.new[w[-1:]]) for w in tailed])
-
-    def _forget(self) -> None:
-        """Long words always go, others if they were not asked for lately."""
-        for word in self.long:
-            self.new.pop(word, None)
+        made = dict(zip(plain, self._letters([w.decode() for w in plain])))
+        if len(plain) < len(need):
+            other = [w for w in need if w not in made]
+            made.update(zip(other, self._words([w.decode() for w in other])))
+        if len(need) < len(unknown):
+            made.update([(w, ids) for w, ids in zip(unknown, again) if ids is not None])
+        for i, word in zip(missing, unknown):
+            found[i] = made[word]
+        self.new.update(made)
+        for word in made:
+            if len(word) > REMEMBERED_CHARS:
+                del self.new[word]
         if len(self.new) >= self.remembered:
             self.old, self.new = self.new, {}
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as 32-bit integers in bytes."""
-        found, whole, words = [], [], set()
-        for text in texts:
-            if any(s in text for s in self.special):
-                whole.append(len(found))
-                found.append([])
-            else:
-                found.append(text.lower().split())
-                words.update(found[-1])
-        self.long = [x for w in words if len(w) > REMEMBERED_CHARS for x in (w, w[:-1])]
-        self._learn(words)
-        get = self.new.__getitem__
-        out = [b"".join(map(get, words)) for words in found]
-        self._forget()
-        for i, ids in zip(whole, self._library([texts[i].decode() for i in whole])):
-            out[i] = ids
+        whole = [i for i, text in enumerate(texts) if any(s in text for s in self.special)]
+        apart = set(whole)
+        number, words, first = pieces([b"" if i in apart else text for i, text in enumerate(texts)] if whole else texts)
+        ids = self._made(words)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        n = size[number]
+        end = np.cumsum(n)
+        # Each id's place among those of the distinct words.
+        at = np.repeat((np.cumsum(size) - size)[number] - (end - n), n)
+        at += np.arange(len(at))
+        flat = np.frombuffer(b"".join(ids), dtype="<u4")[at].tobytes()
+        cut = (4 * np.concatenate(([0], end))[first]).tolist()
+        out = [flat[a:b] for a, b in zip(cut, cut[1:])]
+        for i, made in zip(whole, self._library([texts[i].decode() for i in whole])):
+            out[i] = made
         return out
 
 

@@ -102,3 +102,21 @@ def test_words_of_letters_as_the_library_has_them(monkeypatch):
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts[lo:lo + 20]]
     assert learned and not set(learned) & set(words)  # none of them needs offsets
     assert max(map(len, [*encoder.new, *encoder.old])) <= REMEMBERED_CHARS
+
+
+def test_marks_at_letters_are_pieces_of_their_own(monkeypatch):
+    rng, library = random.Random(7), Tokenizer.from_file(PATH)
+    parts = ["ab", "Zß", "é", "É", "÷", "×", "c3", "7", "'", "''", "'s", "'ll", "***", "&", "=", "≠", "̸", "<", "|", "\"", "(", ".", ",",
+             "\x00", "\x1c", "\x7f", " ", "　", "я", "Σ", "漢", "s", "t", "ve", "`", "_"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", "", "", " ", "\n"]) for _ in range(rng.randrange(0, 30))) for _ in range(4000)]
+    encoder = WordEncoder(PATH)
+    got = encoder.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    # A word before marks is looked up as the word alone: the library sees it once, and only the marks need offsets.
+    learned, letters = [], []
+    encoder = WordEncoder(PATH)
+    monkeypatch.setattr(encoder, "_words", lambda some, make=encoder._words: learned.extend(some) or make(some))
+    monkeypatch.setattr(encoder, "_letters", lambda some, make=encoder._letters: letters.extend(some) or make(some))
+    encoder.encode(['Ab*** ab&&& "ab" (ab), ab!! ab\'s maß'.encode()])
+    assert sorted(letters) == ["ab", "maß"]
+    assert not any(c.isalpha() for w in learned for c in w if w != "'s")

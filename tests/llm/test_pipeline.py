@@ -9,7 +9,7 @@ import tiktoken
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from test_decontaminate import topics
+from test_decontaminate import scattered, topics
 from normlens.llm.byte_bpe import read_ranks
 
 ITEMS = [(1, "which planet of the outer system has the widest visible rings when seen through a small telescope saturn of course"),
@@ -145,3 +145,12 @@ def test_paraphrases_by_the_words_of_the_corpus_go(spark, tmp_path):
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()}
     gone = {i for i, _ in rows} - kept
     assert gone <= {i for i, _ in leaks} and len(gone) >= 0.9 * len(leaks)
+
+
+def test_paraphrases_by_words_of_many_items_go(spark, tmp_path):
+    items, rows, leaks = scattered()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()}
+    gone = {i for i, _ in rows} - kept
+    assert gone <= {i for i, _ in leaks} and len(gone) >= 0.9 * len(leaks)

@@ -18,11 +18,13 @@ its length with the mean weight of the terms.
 2. A passage whose terms make up less than ``cosine``**2 of its squared length
    cannot reach that cosine with any item, so only the others are kept.
 3. A randomised SVD gives the latent space. The matrix A has the TF-IDF rows of
-   all kept passages. Random directions are multiplied by A'A, task by task, and
-   the sums of all tasks are made orthonormal, ``ROUNDS`` times, which gives the
-   leading ``RANK`` singular directions. A last pass sums A'A within these,
-   which weighs them by their squared values. What the items have outside them
-   is appended, so the space holds every item however many corpus rows there are.
+   all kept passages. The items' passages and ``EXTRA`` random directions, ``RANK``
+   together at least, are multiplied by A'A, task by task, and the sums of all
+   tasks are made orthonormal, ``ROUNDS`` times. This gives singular directions
+   beside each item, also where other topics of the corpus are heavier (beyond
+   ``SEEDS`` passages, neighbours begin as one). A last pass sums A'A within
+   these, which weighs them by their squared values. What the items have outside
+   them is appended, so the space holds every item however many corpus rows there are.
 4. In this space each kept passage is compared with two points for each passage
    of an item: the passage itself, and its image by A'A within the singular
    directions alone, which has weight on the words that the corpus uses beside
@@ -69,7 +71,11 @@ RARE_ITEMS = 50
 COVERED = 0.75
 PARAPHRASE = 0.55
 ANSWER = 0.8
+#: Least number of singular directions.
 RANK = 128
+#: Random directions beside those that begin as passages of the items, and the most of the latter.
+EXTRA = 32
+SEEDS = 512
 ROUNDS = 2
 BLOCK_ITEMS = 256
 #: Partitions of kept passages whose sums one task makes.
@@ -77,7 +83,7 @@ SUM_PARTITIONS = 4
 #: Rows whose products are made at a time, so that these stay in the processor's cache.
 CHUNK = 128
 #: Rows whose parts of A'A are added at a time.
-GRAM_CHUNK = 2048
+GRAM_CHUNK = 8192
 #: Groups of tasks whose sums are added first.
 SHARES = 16
 #: Terms whose sums travel together.
@@ -289,12 +295,13 @@ def _sparse(inside: list[bytes], idf: np.ndarray, length: np.ndarray) -> tuple[n
 
 
 def _times(row: np.ndarray, column: np.ndarray, value: np.ndarray, dense: np.ndarray, rows: int) -> np.ndarray:
-    """A sparse matrix, ordered by row, times a dense one."""
+    """A sparse matrix, ordered by row, times a dense one, whose rows lie one after another."""
     out = np.zeros((rows, dense.shape[1]), dtype=dense.dtype)
     cut = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).tolist()
-    value, of = value.astype(dense.dtype), dense.take(column, axis=0)
+    value = value.astype(dense.dtype)
     for i, (a, b) in enumerate(zip(cut, cut[1:])):
-        np.dot(value[a:b], of[a:b], out=out[i])
+        if a < b:  # what one row needs stays in the processor's cache
+            np.dot(value[a:b], dense.take(column[a:b], axis=0), out=out[i])
     return out
 
 
@@ -330,11 +337,24 @@ def _partial_sums(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, produ
     A task that runs again emits the same keys, as share follows from its partition.
     """
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, inside, length = None, [], []
+
+        def add() -> None:
+            nonlocal total
+            made = product(inside, np.concatenate(length), idf, basis)
+            if total is None:
+                total = made
+            else:
+                total += made
+            inside.clear()
+            length.clear()
         for batch in batches:
-            if batch.num_rows:
-                made = product(batch.column("inside").to_pylist(), batch.column("length").to_numpy(), idf, basis)
-                total = made if total is None else total + made
+            inside += batch.column("inside").to_pylist()
+            length.append(batch.column("length").to_numpy())
+            if len(inside) >= GRAM_CHUNK:
+                add()
+        if inside:
+            add()
         if total is not None:
             parts = [total[lo:lo + TERM_BLOCK].tobytes() for lo in range(0, len(total), TERM_BLOCK)]
             share = TaskContext.get().partitionId() % SHARES
@@ -362,24 +382,41 @@ def _summed(passages: DataFrame, idf: np.ndarray, basis: np.ndarray, rows: int,
     return total
 
 
-def singular_directions(passages: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = 17) -> np.ndarray:
-    """Orthonormal (terms, at most rank): the leading right singular vectors of the passages, by randomised subspace iteration."""
-    basis = _span(np.random.default_rng(seed).normal(size=(len(idf), min(rank, len(idf)))))
+def directions_for(items: Items) -> int:
+    """How many singular directions are sought for a block of items."""
+    return min(len(items.terms), max(RANK, min(SEEDS, len(items.passages()[0])) + EXTRA))
+
+
+def singular_directions(passages: DataFrame, idf: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = 17,
+                        start: np.ndarray | None = None) -> np.ndarray:
+    """Orthonormal (terms, at most rank): the leading right singular vectors of the passages, by randomised subspace iteration.
+
+    It begins with the columns of ``start``, if any, and random ones up to the rank.
+    """
+    first = np.random.default_rng(seed).normal(size=(len(idf), min(rank, len(idf)) - (0 if start is None else start.shape[1])))
+    basis = _span(first if start is None else np.concatenate((start, first / np.sqrt(len(idf))), axis=1))
     for _ in range(rounds):
         if basis.shape[1]:  # none are left if no passage is kept
-            basis = _span(_summed(passages, idf, basis.astype(np.float32), len(idf)))
+            basis = _span(_summed(passages, idf, basis.astype(np.float32, order="C"), len(idf)))
     return basis
 
 
-def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray, rank: int = RANK, rounds: int = ROUNDS, seed: int = 17) -> np.ndarray:
-    """Orthonormal (terms, width) basis: the singular directions of the passages, then what these leave of the items."""
-    leading = singular_directions(passages, idf, rank, rounds, seed)
-    return np.concatenate((leading, _outside(leading, _dense(items.passages()[0], idf))), axis=1)
+def latent_basis(passages: DataFrame, items: Items, idf: np.ndarray, rounds: int = ROUNDS, seed: int = 17) -> np.ndarray:
+    """Orthonormal (terms, width) basis: the singular directions of the passages, then what these leave of the items.
+
+    The directions begin as the items, for the leading ones of a large corpus have little of any item.
+    """
+    own = _dense(items.passages()[0], idf)
+    rank = directions_for(items)
+    seeds = min(own.shape[1], SEEDS, rank)
+    start = np.add.reduceat(own, np.arange(seeds) * own.shape[1] // seeds, axis=1)
+    leading = singular_directions(passages, idf, rank, rounds, seed, start)
+    return np.concatenate((leading, _outside(leading, own)), axis=1)
 
 
 def corpus_product(passages: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'A of the passages within the basis, in its coordinates."""
-    return _summed(passages, idf, basis.astype(np.float32), basis.shape[1], _inner)
+    return _summed(passages, idf, basis.astype(np.float32, order="C"), basis.shape[1], _inner)
 
 
 def images(items: np.ndarray, product: np.ndarray, cosine: float = COSINE) -> np.ndarray:
@@ -483,11 +520,12 @@ def _leaks_of(rows: DataFrame, items: Items, cosine: float, covered: float, para
     queries, owner = items.passages()
     latent = _times(*_sparse([w.tobytes() for w in queries], idf, _lengths(queries, idf)), basis, len(queries))
     latent /= np.linalg.norm(latent, axis=1, keepdims=True)
-    rank = min(RANK, basis.shape[1])  # the singular directions come first; others have no passages if these are fewer
+    rank = min(directions_for(items), basis.shape[1])  # the singular directions come first; others have no passages if these are fewer
     image = images(latent[:, :rank], corpus_product(kept, idf, basis[:, :rank]), cosine)
     apart = (latent[:, :rank] * image).sum(axis=1).astype(np.float32)
     # The items as the space holds them, beside the singular directions: one product gives both.
-    points, image = np.concatenate((basis[:, :rank], basis @ latent.T), axis=1).astype(np.float32), image.T.astype(np.float32)
+    points = np.concatenate((basis[:, :rank], basis @ latent.T), axis=1).astype(np.float32, order="C")
+    image = image.T.astype(np.float32, order="C")
     # A direction between two is no nearer than the better of them by more than half their angle.
     least = (cosine * np.sqrt((1 + apart) / 2) * (1 - 1e-6)).astype(np.float32)
     item_words, item_ids, begins = items.words, items.ids, items.answer

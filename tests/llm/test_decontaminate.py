@@ -252,6 +252,44 @@ def test_singular_directions_decide_what_is_found(spark, monkeypatch):
     assert not d.find_leaks(docs, bench).count()
 
 
+def crowded():
+    """As scattered(), among other items whose words the corpus has together more often, more than the leading directions hold."""
+    items, rows, leaks = scattered()
+    rng = random.Random(12)
+    names = iter(dict.fromkeys("".join(rng.choices("bcdfghklmnprst", k=7)) for _ in range(2000)))
+    frame = [next(names) for _ in range(60)]
+    for i in range(d.RANK + 32):
+        topic = [next(names) for _ in range(10)]
+        items.append((1000 + i, " ".join(topic + rng.sample(frame, 10)) + ". " + " ".join(rng.sample(frame, 5)) + "."))
+        for j in range(60):
+            words = topic + rng.choices(frame, k=22)
+            rng.shuffle(words)
+            rows.append((20000 + 60 * i + j, " ".join(words)))
+    return items, rows, leaks
+
+
+def test_directions_of_each_item_are_found_among_heavier_ones(spark):
+    items, rows, leaks = crowded()
+    assert len(items) <= d.BLOCK_ITEMS
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in d.find_leaks(docs, bench).collect()}
+    assert got <= leaks and len(got) >= 0.9 * len(leaks)
+
+
+def test_many_passages_share_the_seeds(spark, monkeypatch):
+    items, _, _ = corpus()
+    read = d.read_items(items)
+    rows, _ = read.passages()
+    monkeypatch.setattr(d, "SEEDS", 20)
+    monkeypatch.setattr(d, "RANK", 20)
+    assert len(rows) > 20 and d.directions_for(read) == 20 + d.EXTRA
+    idf = np.ones(len(read.terms))
+    kept = spark.createDataFrame([(w.tobytes(), float(n)) for w, n in zip(rows, d._lengths(rows, idf))], "inside binary, length double")
+    basis = d.latent_basis(kept, read, idf)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-8)
+    assert np.allclose(np.linalg.norm(basis.T @ d._dense(rows, idf), axis=0), 1)
+
+
 def test_leading_directions_are_those_of_an_exact_svd(spark):
     rng = np.random.default_rng(10)
     terms, topics = 60, 6

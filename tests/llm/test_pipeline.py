@@ -9,7 +9,8 @@ import tiktoken
 from xxhash import xxh64_intdigest
 
 import corpus_pipeline
-from test_decontaminate import scattered, topics
+from test_decontaminate import crowded, scattered, topics
+from normlens.llm import decontaminate
 from normlens.llm.byte_bpe import read_ranks
 
 ITEMS = [(1, "which planet of the outer system has the widest visible rings when seen through a small telescope saturn of course"),
@@ -154,3 +155,15 @@ def test_paraphrases_by_words_of_many_items_go(spark, tmp_path):
     kept = {r.doc_id for r in dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path)).collect()}
     gone = {i for i, _ in rows} - kept
     assert gone <= {i for i, _ in leaks} and len(gone) >= 0.9 * len(leaks)
+
+
+def test_paraphrases_go_among_heavier_topics(spark, tmp_path, monkeypatch):
+    items, rows, leaks = crowded()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["decontamination"]
+    gone = {i for i, _ in rows} - {r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()}
+    assert gone <= {i for i, _ in leaks} and len(gone) >= 0.9 * len(leaks)
+    # The items' span alone leaves them all.
+    monkeypatch.setattr(decontaminate, "latent_basis", lambda passages, items, idf: decontaminate._span(decontaminate._dense(items.passages()[0], idf)))
+    assert stage(spark, docs, str(tmp_path)).count() == len(rows)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from normlens import spec as S
-from normlens.functions.hashing import key_text, seeded_digest
+from normlens.functions.hashing import hash_number, key_text, seeded_digest
 from normlens.functions.numeric import (
     direction_label, pearson, round_even, rows_from_columns, strength_label, two_sided_p)
 from normlens.operators.joint_ranks import SUMS, rank_sums
@@ -128,18 +128,40 @@ def construct_checks(df: DataFrame, checks: Sequence[tuple[str, str, str]] = S.C
     )
 
 
+def _digest_bits(digest: Column) -> Column:
+    """Bits of the first 32 of a digest from the first one that is set: half of all rows have 32, a quarter 31, and so on."""
+    return F.length(F.bin(hash_number(digest)))
+
+
+def _sample_bits(rows: DataFrame, complete: Sequence[Column], most: int) -> DataFrame:
+    """One row (b0, b1, ...): for each rule the least number of digest bits that at least ``most`` of its rows stay within.
+
+    The rows with the ``most`` lowest digests are among them. One scan passes on a count for each number of bits.
+    """
+    names = [f"n{k}" for k in range(len(complete))]
+    counts = rows.groupBy("_bits").agg(*[F.count_if(c).alias(n) for c, n in zip(complete, names)])
+    upto = Window.orderBy("_bits").rowsBetween(Window.unboundedPreceding, 0)
+    reached = counts.select("_bits", *[F.sum(n).over(upto).alias(n) for n in names])
+    return reached.agg(*[F.coalesce(F.min(F.when(F.col(n) >= most, F.col("_bits"))), F.lit(32)).alias(f"b{k}")
+                         for k, n in enumerate(names)])
+
+
 def scatter_corr(df: DataFrame, pairs: Sequence[tuple[str, str]], key: list[str],
                  spec: NormSpec = DEFAULT_SPEC) -> DataFrame:
-    """Pearson r (3 decimals) on each pair's seeded scatter sample, all pairs in one scan.
+    """Pearson r (3 decimals) on each pair's seeded scatter sample, all pairs in two scans.
 
-    A row counts for every pair that it is complete for; a task passes on no
-    more rows of a pair than its sample has.
+    A row counts for every pair that it is complete for. The sample has the
+    lowest digests, so a first scan finds how low they are: only rows about as
+    many as the samples have are sorted and sent, however large the table is.
     """
-    complete = F.filter(F.array(*[
-        F.when(F.col(x).isNotNull() & F.col(y).isNotNull(),
+    complete = [F.col(x).isNotNull() & F.col(y).isNotNull() for x, y in pairs]
+    marked = df.withColumn("_digest", seeded_digest(spec.seed, key_text(key))).withColumn("_bits", _digest_bits(F.col("_digest")))
+    cut = with_row(marked, _sample_bits(marked, complete, spec.scatter_rows), "_cut")
+    taken = F.filter(F.array(*[
+        F.when(c & (F.col("_bits") <= F.col(f"_cut.b{k}")),
                F.struct(F.lit(k).alias("pair"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))
-        for k, (x, y) in enumerate(pairs)]), lambda p: p.isNotNull())
-    rows = df.select(*key, seeded_digest(spec.seed, key_text(key)).alias("_digest"), F.inline(complete))
+        for k, (c, (x, y)) in enumerate(zip(complete, pairs))]), lambda p: p.isNotNull())
+    rows = cut.select(*key, "_digest", F.inline(taken))
     first = Window.partitionBy("pair").orderBy("_digest", *key)
     sample = rows.withColumn("_place", F.row_number().over(first)).where(F.col("_place") <= spec.scatter_rows)
     names = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in pairs])
